@@ -354,7 +354,10 @@ def repeats(df: DataFrame, length: int = 200, id_column: str = "doc_id", text_co
     k = round(length * GRAMS[0])
     found = docs.mapInArrow(_document_snippets(length, k), f"id {df.schema[id_column].dataType.simpleString()}, th bigint, h bigint, sh bigint, s int, m int")
     again = found.groupBy("h").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("c > 1")
-    candidates = cut(found.join(again.selectExpr("h", "lo = hi as alike"), "h"), "candidates")
+    # written first: a join of two plain exchanges, of which the engine can split hot partitions
+    again = cut(again.selectExpr("h", "lo = hi as alike"), "anchors")
+    candidates = cut(found.join(again, "h"), "candidates")
+    drop(again)
     free_shuffles(spark)
     mixed = candidates.where("not alike")
     firsts = mixed.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s", "m")).alias("at"))
