@@ -17,6 +17,8 @@ extra columns change nothing, and an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, texts_of
+from .shared import map_batches, sliced, texts_of
 
 MARK = "▁"
 #: Chunks and pairs of pieces remembered in a Python worker; beyond that the memory starts anew.
-CHUNKS, PAIRS = 500_000, 500_000
+CHUNKS, PAIRS = 300_000, 1_000_000
+#: Numbers from here on are characters that are no piece.
+OTHER = 1 << 20
 _loaded: dict[str, Codec] = {}
 
 
@@ -43,6 +47,7 @@ class Codec:
         special = {i for i in ids if model.is_control(i) or model.is_unknown(i) or model.is_byte(i)}
         self.end = model.eos_id()
         self.id_of = {model.id_to_piece(i): i for i in ids if i not in special and not model.is_unused(i)}
+        self.pieces = [model.id_to_piece(i) for i in ids]
         self.score = {p: model.get_score(i) for p, i in self.id_of.items()}
         self.byte_id = {int(model.id_to_piece(i)[1:-1], 16): i for i in ids if model.is_byte(i)}
         self.bytes_of = [b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode() for i in ids]
@@ -56,10 +61,12 @@ class Codec:
         self.lines = not any("\n" in p for p in self.id_of)
         self.automaton = ahocorasick.Automaton()
         for piece in self.id_of:
-            self.automaton.add_word(piece, len(piece))
+            self.automaton.add_word(piece, self.id_of[piece] << 8 | len(piece))
         self.automaton.make_automaton()
+        self.together = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
         self.chunk_ids: dict[str, bytes] = {}
-        self.goes: dict[tuple[str, str], bool] = {}
+        self.part_ids: dict[str, bytes] = {}
+        self.goes: dict[int, bool] = {}
 
     @staticmethod
     def load(path: str) -> Codec:
@@ -71,64 +78,93 @@ class Codec:
     def merged(self, text: str) -> list[str]:
         """The characters of a short text merged by the model's rules: the best score first, then the leftmost."""
         parts, score = list(text), self.score.get
-        while len(parts) > 1:
+        pairs = [score(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        while True:
             best, at = None, 0
-            for i in range(len(parts) - 1):
-                s = score(parts[i] + parts[i + 1])
+            for i, s in enumerate(pairs):
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if best is None:
-                break
+                return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether the two pieces stay as they are when their text is merged; left may be empty."""
-        key = (left, right)
-        found = self.goes.get(key)
-        if found is None:
-            if len(self.goes) >= PAIRS:
-                self.goes.clear()
-            found = self.goes[key] = self.merged(left + right) == ([left, right] if left else [right])
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1])
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at])
+
+    def text_of(self, piece: int) -> str:
+        return self.pieces[piece] if piece < OTHER else chr(piece - OTHER)
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether the two pieces stay as they are when their text is merged; without a left one it is -1."""
+        a, b = "" if left < 0 else self.text_of(left), self.text_of(right)
+        if len(self.goes) >= PAIRS:
+            self.goes.clear()
+        found = self.goes[left << 22 | right] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
-    def cut(self, chunk: str) -> list[str]:
-        """The chunk's pieces by backtracking; a character that is no piece stands alone."""
+    def cut(self, chunk: str) -> list[int]:
+        """The chunk's pieces by backtracking; a character that is no piece stands alone, as OTHER and its number."""
         n = len(chunk)
-        sizes: list[list[int]] = [[] for _ in range(n)]
-        for last, size in self.automaton.iter(chunk):
-            sizes[last - size + 1].append(size)
-        failed, pos, taken, starts = 0, 0, [], []
-        tries = [0] * n  # how many of a position's pieces have been given up
-        compatible = self.compatible
+        here_of: list[list[int]] = [[] for _ in range(n)]
+        for last, found in self.automaton.iter(chunk):
+            here_of[last - (found & 255) + 1].append(found)  # the longest of a place comes last
+        failed, pos, before, known, compatible = 0, 0, -1, self.goes.get, self.compatible
+        taken: list[int] = []
+        starts: list[int] = []
+        tries = [0] * n  # how many of a place's pieces have been given up
         while pos < n:
-            here = sizes[pos]
-            if not here or here[0] != 1:
-                here.insert(0, 1)
-            before = taken[-1] if taken else ""
+            here = here_of[pos]
+            if not here or here[0] & 255 != 1:
+                here.insert(0, OTHER + ord(chunk[pos]) << 8 | 1)
             for k in range(len(here) - 1 - tries[pos], -1, -1):
-                end = pos + here[k]
-                if not failed >> end & 1 and compatible(before, chunk[pos:end]):
+                found = here[k]
+                end, piece = pos + (found & 255), found >> 8
+                if failed >> end & 1:
+                    continue
+                goes = known(before << 22 | piece)
+                if goes or goes is None and compatible(before, piece):
                     tries[pos] = len(here) - 1 - k
-                    taken.append(chunk[pos:end])
+                    taken.append(piece)
                     starts.append(pos)
-                    pos = end
+                    pos, before = end, piece
                     break
             else:
                 failed |= 1 << pos
                 if not taken:
                     raise ValueError(f"no tokenisation of {chunk!r}")
-                taken.pop()
                 tries[pos] = 0
+                taken.pop()
                 pos = starts.pop()
+                before = taken[-1] if taken else -1
         return taken
 
     def encode_chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.cut(chunk):
-            i = self.id_of.get(piece)
-            ids += [i] if i is not None else [self.byte_id[b] for b in piece.encode()]
-        return np.array(ids, np.int32).tobytes()
+        """A chunk's ids; between two characters that stand together in no piece it is cut, and the parts remembered."""
+        together, parts, first = self.together, [], 0
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in together:
+                parts.append(chunk[first:k])
+                first = k
+        if not first:
+            return self.encode_part(chunk)
+        parts.append(chunk[first:])
+        out = []
+        for part in parts:
+            ids = self.part_ids.get(part)
+            if ids is None:
+                if len(self.part_ids) >= CHUNKS:
+                    self.part_ids.clear()
+                ids = self.part_ids[part] = self.encode_part(part)
+            out.append(ids)
+        return b"".join(out)
+
+    def encode_part(self, part: str) -> bytes:
+        ids = self.cut(part)
+        if max(ids) >= OTHER:
+            ids = [i for piece in ids for i in ([piece] if piece < OTHER else [self.byte_id[b] for b in chr(piece - OTHER).encode()])]
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text with the end id, as the bytes of int32."""
@@ -189,19 +225,20 @@ class Codec:
 def encode_decode(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row its id, `ids` (array of int, the end id last) and `decoded` (the text that those ids give back)."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(model_path)
-        encoded = [codec.encode(t) for t in texts_of(batch.column(1))]
-        offsets = np.zeros(len(encoded) + 1, np.int64)
-        np.cumsum([len(x) >> 2 for x in encoded], out=offsets[1:])
-        values = np.frombuffer(b"".join(encoded), np.int32)
-        decoded = [codec.decode(values[a:b].tolist()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-        return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+        for batch in sliced(batches, 1):
+            encoded = [codec.encode(t) for t in texts_of(batch.column(1))]
+            offsets = np.zeros(len(encoded) + 1, np.int64)
+            np.cumsum([len(x) >> 2 for x in encoded], out=offsets[1:])
+            values = np.frombuffer(b"".join(encoded), np.int32)
+            decoded = [codec.decode(np.frombuffer(x, np.int32).tolist()) for x in encoded]
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return map_batches(rows, run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
 
 
 def decode(df: DataFrame, model_path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:

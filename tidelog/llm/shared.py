@@ -43,6 +43,14 @@ def drop(*frames: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes of a column, at least a row each."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(size, batch.column(column).nbytes))
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; batches without rows are skipped."""
 
