@@ -29,5 +29,10 @@ def fold(id_column: str, folds: int) -> Column:
 
 def class_sample(labelled: DataFrame, id_column: str, label: str, per_class: int) -> DataFrame:
     """Ids and labels of at most `per_class` rows of each label, those with the smallest hash of their id."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(id_column), id_column)
-    return labelled.select(id_column, label).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_class).drop("__r")
+    rows = labelled.select(id_column, label).withColumn("__k", F.xxhash64(id_column))
+    # first in parts of a label, so that a frequent one isn't one task's work
+    rows = rows.withColumn("__p", F.pmod(F.xxhash64("__k"), F.lit(256)))
+    order = ["__k", id_column]
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(label, "__p").orderBy(*order))).where(F.col("__r") <= per_class)
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("__r") <= per_class)
+    return rows.select(id_column, label)
