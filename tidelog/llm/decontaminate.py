@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts_of
+from .shared import short_batches, texts_of
 from .suffix_array import suffix_array
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -246,6 +246,7 @@ def find_phrases(df: DataFrame, benchmark: DataFrame, width: int = 10, remove: b
 
         return run
 
+    short_batches(df)
     for k, windows in enumerate(passes):
         phrases = Phrases([(w, sorted(items, key=str)) for w, items in sorted(windows.items())])
         out = out.mapInArrow(step(spark.sparkContext.broadcast(phrases), k == len(passes) - 1), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import class_sample, code_points, gram_hashes
-from .shared import cut, map_batches, texts_of
+from .shared import cut, map_batches, short_batches, texts_of
 
 #: Rows of each language to learn from; bits of a feature; the longest n-gram.
 PER_LANGUAGE, BITS, LONGEST = 600, 14, 3
@@ -65,7 +65,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(total[which])], names=["f", "n"])
 
     out = np.zeros((1 << BITS) + 1, np.int64)
-    for r in texts.mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    for r in short_batches(texts).mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():
         out[r["f"]] = r["n"]
     return int(out[-1]), out[:-1]
 

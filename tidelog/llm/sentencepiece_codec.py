@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, sliced, texts_of
+from .shared import map_batches, short_batches, sliced, texts_of
 
 MARK = "▁"
 #: Chunks and pairs of pieces remembered in a Python worker; beyond that the memory starts anew.
@@ -238,7 +238,7 @@ def encode_decode(df: DataFrame, model_path: str, id_column: str = "doc_id", tex
 
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
+    return short_batches(rows).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
 
 
 def decode(df: DataFrame, model_path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the cluster names no folder, as in tests.
 OWN_FOLDER = "file:///tmp/checkpoints/tidelog"
+#: Rows of a batch that Python gets.
+ARROW_ROWS = 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +45,14 @@ def drop(*frames: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """Has the session hand at most ARROW_ROWS rows at a time to Python: texts are long, and buffers stay allocated."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about so many bytes of a column, at least a row each."""
     for batch in batches:
@@ -59,7 +69,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
             if batch.num_rows:
                 yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return short_batches(df).mapInArrow(run, schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:

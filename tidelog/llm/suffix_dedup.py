@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, drop
+from .shared import cut, drop, short_batches
 from .suffix_array import suffix_array
 
 #: Lengths of k-grams, as shares of the string's length: the first for documents, the others for hot anchors.
@@ -352,7 +352,7 @@ def repeats(df: DataFrame, length: int = 200, id_column: str = "doc_id", text_co
     spark = df.sparkSession
     docs = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).alias("text"))
     k = round(length * GRAMS[0])
-    found = docs.mapInArrow(_document_snippets(length, k), f"id {df.schema[id_column].dataType.simpleString()}, th bigint, h bigint, sh bigint, s int, m int")
+    found = short_batches(docs).mapInArrow(_document_snippets(length, k), f"id {df.schema[id_column].dataType.simpleString()}, th bigint, h bigint, sh bigint, s int, m int")
     again = found.groupBy("h").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("c > 1")
     # written first: a join of two plain exchanges, of which the engine can split hot partitions
     again = cut(again.selectExpr("h", "lo = hi as alike"), "anchors")
