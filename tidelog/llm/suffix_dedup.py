@@ -14,7 +14,7 @@ Sorting all suffixes of a corpus is out of reach, so equal strings are first bro
 
 Null and empty texts, and those shorter than `length`, keep all bytes. Documents that are equal, rows repeated with one
 id among them, lose all that `length` bytes cover. Ties of hashes go to the leftmost; an empty table gives an empty one;
-only the id and text columns are read, so other columns can't clash.
+only the id and text columns are read, and the two that are added replace others of their names.
 """
 
 from __future__ import annotations
@@ -389,12 +389,12 @@ def removed_spans(found: list, length: int) -> list[list[int]]:
 
 def remove_repeats(df: DataFrame, length: int = 200, as_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All columns, `removed` (array of runs [first, end) of bytes) and `kept` (the remaining bytes; as_text: without what
-    is left of characters that are removed in part)."""
+    is left of characters that are removed in part). Columns of these two names are replaced."""
     marks = repeats(df, length, id_column, text_column)
     rows = df.withColumn("__th", F.xxhash64(text_column))
     m = marks.select(F.col("id").alias("__id"), F.col("th").alias("__mth"), F.col("found").alias("__found"))
     joined = rows.join(m, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__mth")), "left")
-    names = df.columns
+    names = [c for c in df.columns if c not in ("removed", "kept")]
     at = names.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,5 +410,5 @@ def remove_repeats(df: DataFrame, length: int = 200, as_text: bool = False, id_c
                 kept.append(raw.decode(errors="ignore") if as_text else raw)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string() if as_text else pa.binary())], names=[*names, "removed", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
     return joined.select(*names, "__found").mapInArrow(run, f"{fields}, removed array<array<bigint>>, kept {'string' if as_text else 'binary'}")
