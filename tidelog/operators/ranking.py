@@ -45,32 +45,42 @@ def ranked(df: DataFrame, order: Order, name: str = "rank", parts: int = 32) ->
 def order_statistics(df: DataFrame, column: str, shares: list[float], small: int = 10_000) -> dict[float, float]:
     """The element at place floor(n * p), from 0, of the sorted column, for each share p; nulls don't count.
 
-    Approximate percentiles bracket each element; the bracket is narrowed until few enough values are in it.
+    Approximate percentiles bracket each element; a bracket is narrowed, all of them in one pass, until few values are in
+    it or it is one value. A bracket that the counts show to miss its element is taken again with twice the margin.
     """
+    x = F.col("x")
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("x"))
     n, least, most = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return {}
+    place = {p: min(n - 1, int(n * p)) for p in shares}
+    held = {p: (least, most, 0, n) for p in shares}  # low, high, values below, values inside
+    margin = dict.fromkeys(shares, 0.001)
+    within = lambda low, high: (x >= F.lit(low)) & (x <= F.lit(high))
+    done = lambda p: held[p][3] <= small or held[p][0] == held[p][1] or margin[p] >= 1
+    while wide := [p for p in shares if not done(p)]:
+        cuts = {p: [min(1.0, max(0.0, (place[p] - held[p][2]) / held[p][3] + d * margin[p])) for d in (-1, 1)] for p in wide}
+        found = values.agg(*[F.percentile_approx(F.when(within(*held[p][:2]), x), cuts[p], 10_000) for p in wide]).first()
+        counts = values.agg(*[c for low, high in found for c in (F.count_if(x < F.lit(low)), F.count_if(within(low, high)))]).first()
+        for k, p in enumerate(wide):
+            below, inside = counts[2 * k], counts[2 * k + 1]
+            if below <= place[p] < below + inside and inside < held[p][3]:
+                held[p] = (*found[k], below, inside)
+            else:
+                margin[p] *= 2
+    some = F.lit(False)
+    for low, high, _, _ in held.values():
+        some = some | within(low, high)
+    tally = sorted((r["x"], r["count"]) for r in values.where(some).groupBy("x").count().toLocalIterator())
     out = {}
-    for p in shares if n else []:
-        place, low, high = min(n - 1, int(n * p)), least, most
-        while True:
-            inside = values.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
-            below = values.where(F.col("x") < F.lit(low)).count()
-            count = inside.count()
-            share = (place - below) / count
-            cuts = [max(0.0, share - 0.01), min(1.0, share + 0.01)]
-            a, b = inside.agg(F.percentile_approx("x", cuts, 1000)).first()[0]
-            under, upto = values.agg(F.count_if(F.col("x") < F.lit(a)), F.count_if(F.col("x") <= F.lit(b))).first()
-            a, b = (a if under <= place else low), (b if upto > place else high)
-            if count <= small or (a, b) == (low, high):
-                tally = inside.groupBy("x").count().orderBy("x")
-                at = below
-                for r in tally.toLocalIterator():
-                    at += r["count"]
-                    if at > place:
-                        out[p] = r["x"]
-                        break
-                break
-            low, high = a, b
+    for p in shares:
+        low, high, at, _ = held[p]
+        for value, count in tally:
+            if low <= value <= high:
+                at += count
+                if at > place[p]:
+                    out[p] = value
+                    break
     return out
 
 
