@@ -237,6 +237,15 @@ def test_fold(spark):
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
 
 
+def test_class_samples_are_the_smallest_hashes(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id % 10 = 0, 'a', 'b') as y").unionByName(spark.range(400).selectExpr("7L as id", "'c' as y"))
+    got = Counter(r.y for r in ngrams.class_sample(rows, "id", "y", 20).collect())
+    assert got == {"a": 20, "b": 20, "c": 20}
+    chosen = {r.id for r in ngrams.class_sample(rows, "id", "y", 20).where("y = 'b'").collect()}
+    order = rows.where("y = 'b'").selectExpr("id", "shiftrightunsigned(xxhash64(id), 11) as h").orderBy("h").limit(20).collect()
+    assert chosen == {r.id for r in order}
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     forms = {"de": ["der", "und", "schön", "über", "lich"], "fr": ["été", "que", "ment", "eau", "oui"], "en": ["the", "ing", "with", "and", "of"]}

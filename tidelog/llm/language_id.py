@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import class_sample, code_points, gram_hashes
-from .shared import cut, map_batches, short_batches, texts_of
+from .shared import map_batches, short_batches, texts_of
 
 #: Rows of each language to learn from; bits of a feature; the longest n-gram.
 PER_LANGUAGE, BITS, LONGEST = 600, 14, 3
@@ -139,7 +139,7 @@ def train_model(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     known = docs.where(F.col(lang_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("y"))
     total, df = document_frequencies(known.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
-    chosen = cut(class_sample(known, "id", "y", PER_LANGUAGE), "sample")
+    chosen = class_sample(known, "id", "y", PER_LANGUAGE)
     texts = known.join(F.broadcast(chosen), ["id", "y"], "left_semi").select("id", "y", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

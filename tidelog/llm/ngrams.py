@@ -28,11 +28,23 @@ def fold(id_column: str, folds: int) -> Column:
 
 
 def class_sample(labelled: DataFrame, id_column: str, label: str, per_class: int) -> DataFrame:
-    """Ids and labels of at most `per_class` rows of each label, those with the smallest hash of their id."""
-    rows = labelled.select(id_column, label).withColumn("__k", F.xxhash64(id_column))
-    # first in parts of a label, so that a frequent one isn't one task's work
-    rows = rows.withColumn("__p", F.pmod(F.xxhash64("__k"), F.lit(256)))
-    order = ["__k", id_column]
-    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(label, "__p").orderBy(*order))).where(F.col("__r") <= per_class)
-    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("__r") <= per_class)
-    return rows.select(id_column, label)
+    """Ids and labels of at most `per_class` rows of each label, those with the smallest hash of their id.
+
+    They are looked for among the rows with a hash below a bound that three times as many are expected under; a label
+    with too few there (many rows of few ids) is taken whole. So the numbering doesn't see all rows of a frequent label.
+    """
+    rows = labelled.select(id_column, label).withColumn("__u", F.shiftrightunsigned(F.xxhash64(id_column), 11) / float(1 << 53))
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a number for each label
+    bounds = {y: 3 * per_class / n for y, n in counts.items() if n > 3 * per_class}
+
+    def below() -> DataFrame:
+        bound = F.lit(2.0)
+        for y, b in bounds.items():
+            bound = F.when(F.col(label).eqNullSafe(F.lit(y)), b).otherwise(bound)
+        return rows.where(F.col("__u") < bound)
+
+    if bounds:
+        found = {r[0]: r[1] for r in below().groupBy(label).count().collect()}
+        bounds = {y: b for y, b in bounds.items() if found.get(y, 0) >= per_class}
+    order = Window.partitionBy(label).orderBy("__u", id_column)
+    return below().withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_class).select(id_column, label)

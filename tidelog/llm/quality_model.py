@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import class_sample, code_points, gram_hashes
-from .shared import cut, map_batches, texts_of
+from .shared import map_batches, texts_of
 
 #: Labelled rows of each class to learn from; bits of a feature; the longest n-gram.
 PER_CLASS, BITS, LONGEST = 1500, 16, 3
@@ -108,7 +108,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    chosen = cut(class_sample(known, "id", "y", PER_CLASS), "sample")
+    chosen = class_sample(known, "id", "y", PER_CLASS)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
