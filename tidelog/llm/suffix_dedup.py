@@ -369,6 +369,7 @@ def repeats(df: DataFrame, length: int = 200, id_column: str = "doc_id", text_co
     ranges = _compare_snippets(pieces, length, k)
     drop(pieces)
     spans = ranges.groupBy(F.col("oh").alias("h"), F.col("os").alias("sh")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    spans = cut(spans, "spans")  # written first, as above
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("m").alias("b")))
     marks = candidates.where("alike").select("id", "th", "s", whole.alias("ranges")).union(mixed.join(spans, ["h", "sh"]).select("id", "th", "s", "ranges"))
     out = cut(marks.groupBy("id", "th").agg(F.collect_set(F.struct("s", "ranges")).alias("found")), "marks")
