@@ -200,6 +200,14 @@ def test_suffix_dedup(spark, monkeypatch, hot, batch):
     assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], 60)))
 
 
+def test_very_long_texts_are_cut_in_parts(spark):
+    letters = np.random.default_rng(5).integers(97, 123, 18_000_000).astype(np.uint8).tobytes().decode()
+    edge = suffix_dedup.BLOCK  # where the first part's strings end
+    rows = [(1, letters), (2, "#" + letters[17_500_000:17_500_500] + "#" + letters[edge - 300 : edge + 300] + "#")]
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in suffix_dedup.remove_repeats(table(spark, rows), 200).select("doc_id", "removed").collect()}
+    assert got == {1: [(edge - 300, edge + 300), (17_500_000, 17_500_500)], 2: [(1, 501), (502, 1102)]}
+
+
 def test_index_family_over_many_batches():
     rng = np.random.default_rng(3)
     length, index, strings, classes = 24, suffix_dedup.IndexFamily(24), [], []

@@ -113,13 +113,17 @@ def _document_snippets(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            for a, b in _blocks([len(x) for x in raw]):
-                sizes = np.array([len(x) for x in raw[a:b]])
+            # long texts in parts of BLOCK strings: a snippet cut there is two, of one anchor
+            parts = [(row, first) for row, x in enumerate(raw) for first in range(0, max(1, len(x) - length + 1), BLOCK)]
+            data = [raw[row][first : first + BLOCK + length - 1] for row, first in parts]
+            at = np.array(parts, np.int64).reshape(-1, 2)
+            for a, b in _blocks([len(x) for x in data]):
+                sizes = np.array([len(x) for x in data[a:b]])
                 starts = np.cumsum(sizes) - sizes
                 windows = np.maximum(sizes - length + 1, 0)
                 if windows.any():
-                    part, place, count, h, sh = anchors(np.frombuffer(b"".join(raw[a:b]), np.uint8), starts, windows, length, k)
-                    rows = pa.array(a + part)
+                    part, place, count, h, sh = anchors(np.frombuffer(b"".join(data[a:b]), np.uint8), starts, windows, length, k)
+                    rows, place = pa.array(at[a + part, 0]), at[a + part, 1] + place
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h), pa.array(sh), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))], names=["id", "th", "h", "sh", "s", "m"])
 
     return run
