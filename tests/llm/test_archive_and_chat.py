@@ -58,6 +58,19 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_one_page_id_in_many_ranges(spark, tmp_path):
+    rows = [(k if k % 3 else 7, f"http://x/{k % 50}", f"page {k % 40} " * 20) for k in range(600)] + [(None, f"u{k}", "page 1 " * 20) for k in range(20)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "hot"), range_bytes=2000)
+    back = warc.read_archive(spark, str(tmp_path / "hot")).collect()
+    first = {}
+    for k, _, html in rows:
+        first[html] = min(x for x in (k, first.get(html)) if x is not None)
+    assert sorted((r.page_id or -1, r.url, r.refers_to or -1, r.payload or "") for r in back) == sorted(
+        (-1 if k is None else k or -1, u, (first[h] if k is not None and k > first[h] else -1) or -1, "" if k is not None and k > first[h] else h) for k, u, h in rows
+    )
+    assert len({r.file for r in back if r.page_id == 7}) > 5
+
+
 def test_least_bytes(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:4], "page_id bigint, url string, html string")
     warc.write_archive(pages, f"file://{tmp_path}/a", least_bytes=5)

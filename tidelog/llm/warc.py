@@ -1,8 +1,8 @@
 """WARC archives: a deterministic sharded writer, and a reader, as a data source of the engine.
 
-Records are dealt into ranges of their page id, whose bounds come from a sample chosen by a hash of the ids, and sorted
-in them, so the same rows give the same files. A task writes gzip members, one a record, under temporary names and rolls
-to a new file by compressed size; the commit gives the files their names and then writes the manifest, which the reader
+Records are dealt into ranges of their page id and their url's hash, whose bounds come from a sample chosen by a hash of
+both, and sorted in them, so the same rows give the same files. A task writes gzip members, one a record, under temporary
+names and rolls to a new file by compressed size; the commit gives the files their names and then writes the manifest, which the reader
 goes by, so an archive without one isn't there. Headers, record ids and digests are made anew from the rows.
 
 Of records with equal payloads of at least `least_bytes`, that with the smallest page id is a response and the others
@@ -18,10 +18,10 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
@@ -35,6 +35,10 @@ from .shared import new_path
 FORMAT = "warc_shards"
 ROWS = "page_id bigint, kind int, url string, html string, digest binary, first bigint"
 READ = "page_id bigint, url string, payload string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, file string"
+#: Ranges at most: their bounds, from about 50 places for each, are made in the driver. Larger archives have larger ranges.
+MAX_RANGES = 20_000
+#: Where rows without a page id are put.
+NO_PAGE = -(1 << 63)
 ORIGIN = uuid.UUID("5b7c1f5e-3f0b-5d7c-9a51-5a2f1d1f6a10")
 
 
@@ -225,24 +229,26 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes:
     spark.dataSource.register(WarcShards)
     html = F.coalesce(F.col(html_column), F.lit(""))
     rows = pages.select(F.col(id_column).cast("bigint").alias("page_id"), F.col(url_column).alias("url"), html.alias("html"))
-    slim = rows.select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), F.octet_length("html").cast("bigint").alias("size"))
+    slim = rows.select("page_id", "url", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest"), F.octet_length("html").cast("bigint").alias("size"))
     least = slim.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = slim.join(least, ["digest", "size"]).where("page_id > first").select("page_id", "digest", "first").distinct()
+    revisits = slim.join(least, ["digest", "size"]).where("page_id > first").select("page_id", "url", "digest", "first").distinct()
     total, n_rows = pages.agg(F.sum(F.octet_length(html).cast("bigint")), F.count("*")).first()
-    n = max(1, -(-(total or 0) // range_bytes))
-    # about 50 ids for each range, chosen by hash
+    n = max(1, min(MAX_RANGES, -(-(total or 0) // range_bytes)))
+    # about 50 different places for each range, chosen by hash; the url's hash splits an id that has very many rows
+    place = [F.coalesce("page_id", F.lit(NO_PAGE)), F.xxhash64("url")]
     one_in = max(1, n_rows // (50 * n))
-    ids = sorted(r[0] for r in rows.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(one_in)) == 0)).select("page_id").collect())
-    bounds = np.array([ids[len(ids) * k // n] for k in range(1, n)] if ids else [], np.int64)
+    chosen = rows.where(F.pmod(F.xxhash64(*place), F.lit(one_in)) == 0).select(*place).distinct()
+    places = sorted(tuple(r) for r in chosen.collect())
+    bounds = [places[len(places) * k // n] for k in range(1, n)] if places else []
 
     @F.pandas_udf("int")
-    def range_of(page: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, page.fillna(np.iinfo(np.int64).min).astype(np.int64).to_numpy(), side="right").astype(np.int32))
+    def range_of(page: pd.Series, sub: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, p) for p in zip(page.tolist(), sub.tolist(), strict=True)], dtype="int32")
 
-    both = revisits.selectExpr("page_id", "0 as kind", "cast(null as string) as url", "cast(null as string) as html", "digest", "first")
+    both = revisits.selectExpr("page_id", "0 as kind", "url", "cast(null as string) as html", "digest", "first")
     both = both.unionByName(rows.selectExpr("page_id", "1 as kind", "url", "html", "cast(null as binary) as digest", "cast(null as bigint) as first"))
-    dealt = both.withColumn("__range", range_of("page_id")).repartitionById(n, F.col("__range")).drop("__range")
-    ordered = dealt.sortWithinPartitions("page_id", "kind", "url", F.xxhash64("html"))
+    dealt = both.withColumn("__range", range_of(*place)).repartitionById(n, F.col("__range")).drop("__range")
+    ordered = dealt.sortWithinPartitions("page_id", F.xxhash64("url"), "kind", "url", F.xxhash64("html"))
     ordered.write.format(FORMAT).mode("append").option("path", path).option("rollBytes", str(roll_bytes)).option("date", date).save()
 
 
