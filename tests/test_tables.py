@@ -209,3 +209,13 @@ def test_catalogue_against_sql(spark, duck):
         assert sorted(names) == columns, name
         got = sorted(repr([cell(r[c]) for c in columns]) for r in df.collect())
         assert got == sorted(repr([cell(r[names.index(c)]) for c in columns]) for r in cursor.fetchall()), name
+
+
+def test_dump_sizes_report_runs_of_any_length(spark, tmp_path):
+    from tidelog.plans import catalog
+
+    events = spark.range(5100).select(F.col("id").alias("event_id"), F.when(F.col("id") < 2500, F.col("id")).otherwise(F.col("id") % 50).alias("user_id"), F.lit("click").alias("event_type"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.run: r for r in catalog.kv_dump_sizes(spark, str(tmp_path)).collect()}
+    assert {k: r.entries for k, r in got.items()} == {0: 3, 1: 1, 2: 1}
+    assert got[0].bytes == sum((8 + 12 + len(f"click:{k}") + 7) // 8 * 8 for k in range(2500))

@@ -215,8 +215,8 @@ def kv_record_bytes(spark, sf_dir):
 
 @query("kv_dump_sizes", f"with {KV}, {RUNS} select run, cast(sum((8 + octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0) + 7) // 8 * 8) as bigint) as bytes, 1 as entries from runs group by run having count(*) <= {EVERY}")
 def kv_dump_sizes(spark, sf_dir):
-    """Binary dumps of the runs; those of up to 1024 records have one index entry, of 24 bytes."""
-    made = dumps.dumped(kv_runs(spark, sf_dir)).where(F.octet_length("index") == 24)
+    """Binary dumps of all runs, with an index entry, of 24 bytes, for each 1024 records or part of them."""
+    made = dumps.dumped(kv_runs(spark, sf_dir))
     return made.select("run", F.octet_length("data").cast("bigint").alias("bytes"), (F.octet_length("index") / 24).cast("int").alias("entries"))
 
 
