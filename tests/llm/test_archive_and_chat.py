@@ -91,6 +91,24 @@ def test_rotation_masks(spark):
     assert chat_rotation.rotations(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 200_000])
+def test_items_without_id_hit_words(spark, tmp_path, monkeypatch, block):
+    from tidelog.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    words = [f"w{chr(97 + k)}" for k in range(24)]
+    docs = [(1, " ".join(["x", *words[:12], "y"])), (2, " ".join([*words[:10], "z", *words[12:22]])), (3, "x y z")]
+    items = [(None, " ".join(words[:12])), (7, " ".join(words[12:22])), (None, " ".join(words[12:22]))]
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.QUERIES["op4_decontaminate"](spark, str(tmp_path))
+    assert rows_of(got) == rows_of(spark.createDataFrame(con.execute(queries.ORACLE_SQL["op4_decontaminate"]).fetchall(), got.schema))
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == {1: (12, 0, True), 2: (20, 1, True), 3: (0, 0, False)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from tests.llm.test_text_operators import brute_fingerprint, brute_repeats

@@ -9,8 +9,9 @@ found are walked to the next sampled position, and their spans are merged in eac
 The test phrases reach the tasks in blocks of BLOCK_WINDOWS, so what is broadcast is bounded; each block is a pass.
 
 Null and empty texts have no words and aren't contaminated. Repeated rows are searched each for itself; an item without
-words has no window; items with the same text or id each count by id once; empty tables give no hit or no rows; only
-the id and text columns are read, so other columns can't clash.
+words has no window; items with the same text or id each count by id once; an item without an id hits words like any
+other and isn't among `items`; empty tables give no hit or no rows; only the id and text columns are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -212,9 +213,9 @@ def find_phrases(df: DataFrame, benchmark: DataFrame, width: int = 10, remove: b
     fields = {"id": f"id {kind}", "text": "text string", "n_words": "n_words bigint", "spans": "spans array<array<bigint>>", "items": f"items array<{item_kind}>"}
     schema = ", ".join(fields.values())
     passes, block = [], {}
-    for item in benchmark.select(item_column, item_text).where(F.col(item_column).isNotNull()).toLocalIterator():
+    for item in benchmark.select(item_column, item_text).toLocalIterator():
         for window, items in windows_of([tuple(item)], width).items():
-            block.setdefault(window, set()).update(items)
+            block.setdefault(window, set()).update(items - {None})
         if len(block) >= BLOCK_WINDOWS:
             passes, block = [*passes, block], {}
     passes = [*passes, block] if block or not passes else passes
@@ -233,7 +234,7 @@ def find_phrases(df: DataFrame, benchmark: DataFrame, width: int = 10, remove: b
                     first, size = k + 1, 0
                     found = search_shard(texts_of(part.column(1)), phrases.value)
                     spans, items = [f[1] for f in found], [f[2] for f in found]
-                    if pa.compute.sum(pa.compute.list_value_length(part.column(4))).as_py():
+                    if pa.compute.sum(pa.compute.list_value_length(part.column(3))).as_py():
                         spans = [merged(a + b) for a, b in zip(part.column(3).to_pylist(), spans, strict=True)]
                         items = [sorted({*a, *b}, key=str) for a, b in zip(part.column(4).to_pylist(), items, strict=True)]
                     texts = part.column(1)
