@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, quality_rules, queries, shared, simhash, suffix_dedup
+from tidelog.llm import decontaminate, near_copies, quality_rules, queries, shared, suffix_dedup
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +17,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id, and one row of it."""
+    """One document of each group of near copies (0.8 of five-word shingles, or op2's 4 bits): that with the smallest id,
+    and one row of it."""
     key = F.struct("doc_id", F.xxhash64("text").alias("th"))
-    found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    found = near_copies.groups(docs.select(key.alias("doc_id"), "text"))
     first = shared.cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "first")
     kept = docs.join(first.select(F.col("doc_id").alias("__key")), key.eqNullSafe(F.col("__key")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if first.where("n > 1").limit(1).count() else kept

@@ -153,6 +153,44 @@ def test_pipeline_stages(spark):
     assert stages["sentencepiece"](spark, clean, SMALL).count() == len(cut)
 
 
+@pytest.mark.parametrize("few", [0, 8])
+def test_near_copies_of_five_word_shingles(spark, monkeypatch, few):
+    import random
+
+    import corpus_pipeline
+    from tidelog.llm import near_copies, simhash
+
+    monkeypatch.setattr(near_copies, "FEW", few)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        texts.append(base)
+        for edits in (2, 5, 5, 7, 12):
+            copy = list(base)
+            for at in rng.sample(range(0, 200, 7), edits):
+                copy[at] = f"n{rng.randrange(4000)}"
+            texts.append(copy)
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(900, ""), (901, None), (902, "one two"), (903, "ONE  two")]
+    sets = {k: near_copies.shingles(t) for k, t in docs}
+    fps = {k: simhash.fingerprint(t) for k, t in docs}
+    root = {k: k for k, _ in docs}
+    apart = 0
+    for a, _ in docs:
+        for b, _ in docs:
+            near = bool(sets[a] | sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+            apart += near and (fps[a] ^ fps[b]).bit_count() > 4
+            if a < b and (near or (fps[a] ^ fps[b]).bit_count() <= 4) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert apart > 20
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.groups(df).collect()} == root
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+    assert near_copies.groups(df.limit(0)).count() == 0
+
+
 def test_whole_pipeline(spark):
     import corpus_pipeline
 
