@@ -91,6 +91,18 @@ def test_rotation_masks(spark):
     assert chat_rotation.rotations(df.limit(0)).count() == 0
 
 
+def test_rotation_of_long_conversations(spark):
+    turns = [(c, *t) for c in (5, None) for t in [(0, "system", "be kind"), (1, "ann", "hi"), (600, "bob", "yes"), (700, "system", "be brief"), (1100, "system", "end")]]
+    got = {(r.conv_id, r.participant, r.part): r for r in chat_rotation.rotations(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert set(got) == {(c, who, part) for c in (5, None) for who in ("ann", "bob") for part in (0, 1, 2)}
+    for c in (5, None):
+        assert got[(c, "bob", 1)].rendered == "<|system|>\nbe kind<|end|>\n<|assistant|>\nyes<|end|>\n<|system|>\nbe brief<|end|>\n"
+        assert (got[(c, "ann", 1)].n_turns, got[(c, "ann", 1)].n_own, got[(c, "ann", 1)]["mask"]) == (3, 0, [])
+        assert got[(c, "ann", 2)].rendered == "".join(f"<|system|>\n{t}<|end|>\n" for t in ("be kind", "be brief", "end"))
+        first, end = got[(c, "bob", 1)]["mask"][0]
+        assert got[(c, "bob", 1)].rendered[first:end] == "yes<|end|>\n"
+
+
 @pytest.mark.parametrize("block", [1, 200_000])
 def test_items_without_id_hit_words(spark, tmp_path, monkeypatch, block):
     from tidelog.llm import decontaminate

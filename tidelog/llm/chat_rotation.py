@@ -3,7 +3,8 @@
 For every participant of a conversation (each role but the system's) the turns are rendered in order with that speaker as
 `assistant`, the others as `user` with their name, system turns as `system`. `mask` has the ranges [first, end) of
 characters to train on: the assistant's texts with their end marks. Turn numbers are cut into spans of SPAN, and each
-span of a long conversation is a sample of its own, so no sample grows with the conversation.
+span of a long conversation is a sample of its own, for every participant of the whole conversation, and begins with the
+system turns of the spans before it. Their other turns aren't repeated, so a sample grows by system turns only.
 
 A null text is empty, a null role is the participant `unknown`, null conversations and turns are kept (turns without a
 number come first). Repeated turns are rendered each time, in the order of role and text; an empty table gives an empty
@@ -27,8 +28,18 @@ def rotations(df: DataFrame, conversation: str = "conv_id", turn: str = "turn",
         F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("unknown")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"),
     )
     spans = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    speakers = F.array_sort(F.array_distinct(F.expr("transform(filter(ts, x -> x.role <> 'system'), x -> x.role)")))
-    views = spans.select("conv_id", "part", "ts", F.explode(speakers).alias("participant"))
+    # what the parts of a conversation of several need from the others
+    system = F.col("t.role") == "system"
+    whole = turns.groupBy(F.col("conv_id").alias("whole_id")).agg(
+        F.collect_set(F.when(~system, F.col("t.role"))).alias("roles"),
+        F.sort_array(F.collect_list(F.when(system, F.struct("part", "t")))).alias("systems"),
+        (F.min("part") < F.max("part")).alias("long"),
+    )
+    joined = spans.join(whole.where("long"), F.col("conv_id").eqNullSafe(F.col("whole_id")), "left")
+    own = F.array_distinct(F.expr("transform(filter(ts, x -> x.role <> 'system'), x -> x.role)"))
+    speakers = F.array_sort(F.coalesce("roles", own))
+    carried = F.expr("if(long, concat(transform(filter(systems, s -> s.part < part), s -> s.t), ts), ts)")
+    views = joined.select("conv_id", "part", carried.alias("ts"), F.explode(speakers).alias("participant"))
     # head, body and end of each turn as this participant sees it
     seen = """transform(ts, x -> struct(
         case when x.role = participant then '<|assistant|>\n' when x.role = 'system' then '<|system|>\n'
