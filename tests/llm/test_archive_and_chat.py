@@ -156,7 +156,7 @@ def test_pipeline_stages(spark):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     clean = stages["decontaminate"](spark, spark.createDataFrame(cut, docs.schema), SMALL)
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in cut}
-    windows = decontaminate.windows_of([tuple(r) for r in bench.collect()], 10)
+    windows = {tuple(w.split(" ")) for r in bench.collect() for w in decontaminate.windows_of(r.text, 10)}
     before = {r.doc_id: r.text for r in cut}
     for r in clean.collect():
         words = decontaminate.words_of(before[r.doc_id])

@@ -1,12 +1,14 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of documents in a task. Its words become symbols: those that a benchmark item has, and one symbol for
-all others, of which a run is one symbol; document ends are symbols of their own. The index is the Burrows-Wheeler
-transform of that sequence in a wavelet matrix with rank counts, and the suffix positions at every SAMPLE-th place of
-the sequence. All test phrases are searched backwards together, a word at a time by two ranks each; the occurrences
-found are walked to the next sampled position, and their spans are merged in each document.
+A shard is a run of documents in a task, of at most SHARD_WORDS words; a longer text is cut in parts that overlap by a
+window less a word. Its words are numbered as they are found there, whatever the test phrases are; document ends are a
+symbol of their own. The index is the Burrows-Wheeler transform of that sequence in a wavelet matrix with rank counts, and
+the suffix positions at every SAMPLE-th place of the sequence. It is built once for a shard. All test phrases of a block
+are then searched in it backwards together, a word at a time by two ranks each; the occurrences found are walked to the
+next sampled position, and their spans are merged in each document.
 
-The test phrases reach the tasks in blocks of BLOCK_WINDOWS, so what is broadcast is bounded; each block is a pass.
+The test phrases are made by a job and written to the shared folder; the driver never has them. Tasks read them there in
+blocks of BLOCK_WINDOWS and hold one block at a time; if all are one block, a task reads it once.
 
 Null and empty texts have no words and aren't contaminated. Repeated rows are searched each for itself; an item without
 words has no window; items with the same text or id each count by id once; an item without an id hits words like any
@@ -17,34 +19,31 @@ columns can't clash.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import short_batches, texts_of
+from .shared import map_batches, new_path, short_batches, texts_of
 from .suffix_array import suffix_array
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: One in so many suffix positions is kept; symbols of a shard; test phrases in a broadcast block.
-SAMPLE, SHARD_SYMBOLS, BLOCK_WINDOWS = 16, 1 << 20, 200_000
+#: One in so many suffix positions is kept; words of a shard; test phrases in a block.
+SAMPLE, SHARD_WORDS, BLOCK_WINDOWS = 16, 1 << 19, 200_000
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.encode().lower().decode()) if text else []
 
 
-def windows_of(items: list[tuple[int, str | None]], width: int) -> dict[tuple[str, ...], set]:
-    """window -> the ids of the items that have it."""
-    out: dict[tuple[str, ...], set] = {}
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            out.setdefault(tuple(words[i : i + width]), set()).add(item)
-    return out
+def windows_of(text: str | None, width: int) -> list[str]:
+    """The text's windows of `width` words, or all its words if they are fewer, space-joined."""
+    words = words_of(text)
+    return [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
 class WaveletMatrix:
@@ -132,56 +131,96 @@ class FMIndex:
 
 
 class Phrases:
-    """A block of windows as symbols: 0 ends a shard, 1 a document, 2 is any other word, then the items' words."""
-
-    def __init__(self, windows: list[tuple[tuple[str, ...], list]]) -> None:
-        self.symbol = {w: k + 3 for k, w in enumerate(sorted({w for words, _ in windows for w in words}))}
-        self.items = [items for _, items in windows]
-        by_length: dict[int, list[int]] = {}
-        for k, (words, _) in enumerate(windows):
-            by_length.setdefault(len(words), []).append(k)
-        self.by_length = [(n, np.array(ks), np.array([[self.symbol[w] for w in windows[k][0]] for k in ks])) for n, ks in sorted(by_length.items())]
-
-
-def search_shard(texts: list[str], phrases: Phrases) -> list[tuple[int, list[list[int]], list]]:
-    """Per text: its number of words, the merged spans [first, end) of hit words, the items that occur, sorted."""
-    symbol, parts, places, starts, counts = phrases.symbol.get, [], [], [], []
-    at = 0
-    for text in texts:
+    """A block of windows: its words, and per length the windows as rows of numbers of words, with their items."""
+
+    def __init__(self, windows: list[str], items: list) -> None:
+        owners: dict[str, set] = {}
+        for window, item in zip(windows, items, strict=True):
+            owners.setdefault(window, set()).update(() if item is None else (item,))
+        number: dict[str, int] = {}
+        by_length: dict[int, tuple[list[list[int]], list[set]]] = {}
+        for window, owner in owners.items():
+            words = [number.setdefault(w, len(number)) for w in window.split(" ")]
+            rows, who = by_length.setdefault(len(words), ([], []))
+            rows.append(words)
+            who.append(owner)
+        self.words = list(number)
+        self.by_length = [(n, np.array(rows, np.int64), who) for n, (rows, who) in sorted(by_length.items())]
+
+
+class Shard:
+    """The index of some word lists and where each position is in them."""
+
+    def __init__(self, parts: list[list[str]]) -> None:
+        # 0 ends the shard, 1 a part; the words follow as they come
+        number: dict[str, int] = {}
+        sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        values = np.ones(int(sizes.sum()) + len(parts) + 1, np.int64)
+        values[-1] = 0
+        for start, part in zip(self.starts.tolist(), parts, strict=True):
+            values[start : start + len(part)] = [number.setdefault(w, len(number) + 2) for w in part]
+        self.number, self.index = number, FMIndex(values)
+
+    def find(self, phrases: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[set]]]:
+        """Per length of windows: the length, the starts found in the sequence, which window each is, the windows' items."""
+        local = np.array([self.number.get(w, -1) for w in phrases.words], np.int64)
+        for n, rows, who in phrases.by_length:
+            rows = local[rows]
+            here = np.flatnonzero(rows.min(axis=1) >= 0)
+            if not len(here):
+                continue
+            lo, hi = self.index.search(rows[here])
+            sizes = hi - lo
+            hit = np.flatnonzero(sizes)
+            for some in np.array_split(hit, max(1, int(sizes.sum()) >> 20)):
+                if len(some):
+                    size = sizes[some]
+                    ranges = np.repeat(lo[some] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                    yield n, self.index.locate(ranges), np.repeat(here[some], size), who
+
+
+def search_shard(parts: list[list[str]], blocks: Iterator[Phrases]) -> list[tuple[list[list[int]], set]]:
+    """Per part: the merged spans [first, end) of hit words, and the items that occur."""
+    out: list[tuple[list[list[int]], set]] = [([], set()) for _ in parts]
+    if not any(parts):
+        return out
+    shard = Shard(parts)
+    for phrases in blocks:
+        for n, position, which, who in shard.find(phrases):
+            part = np.searchsorted(shard.starts, position, side="right") - 1
+            pairs = np.unique(np.stack([part, position - shard.starts[part]]), axis=1)
+            for some in np.split(pairs, np.flatnonzero(np.diff(pairs[0])) + 1, axis=1):
+                spans = out[int(some[0, 0])][0]
+                spans[:] = merged(spans + [[first, first + n] for first in some[1].tolist()])
+            for k, w in np.unique(np.stack([part, which], axis=1), axis=0).tolist():
+                out[k][1].update(who[w])
+    return out
+
+
+def _search_texts(texts: list[str], width: int, blocks: Callable[[], Iterator[Phrases]], shard_words: int) -> list[tuple[int, list[list[int]], list]]:
+    """Per text: its number of words, the merged spans of hit words, the items that occur, sorted as strings."""
+    counts, found = [], [([], set()) for _ in texts]
+    waiting, size = [], 0
+
+    def search() -> None:
+        for (k, first, _), (spans, items) in zip(waiting, search_shard([p[2] for p in waiting], blocks()), strict=True):
+            if spans:
+                found[k] = (merged(found[k][0] + [[a + first, b + first] for a, b in spans]), found[k][1] | items)
+        waiting.clear()
+
+    for k, text in enumerate(texts):
         words = words_of(text)
-        s = np.fromiter(map(symbol, words, [2] * len(words)), np.int32, len(words))
-        keep = np.flatnonzero((s != 2) | np.r_[True, s[:-1] != 2]) if len(s) else np.empty(0, int)
-        parts += [s[keep], [1]]
-        places += [keep, [len(words)]]
-        starts.append(at)
         counts.append(len(words))
-        at += len(keep) + 1
-    values = np.concatenate([*parts, [0]]).astype(np.int64)
-    place, starts = np.concatenate([*places, [0]]), np.array(starts)
-    index = FMIndex(values)
-    found = []
-    for n, which, rows in phrases.by_length:
-        lo, hi = index.search(rows)
-        sizes = hi - lo
-        hit = np.flatnonzero(sizes)
-        for some in np.array_split(hit, max(1, int(sizes.sum()) >> 20)):
-            if len(some):
-                size = sizes[some]
-                ranges = np.repeat(lo[some] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-                position = index.locate(ranges)
-                text = np.searchsorted(starts, position, side="right") - 1
-                found.append(np.unique(np.stack([text, place[position], np.full(len(text), n), np.repeat(which[some], size)]), axis=1))
-    out: list[tuple[int, list[list[int]], list]] = [(c, [], []) for c in counts]
-    if found:
-        hits = np.concatenate(found, axis=1)
-        hits = hits[:, np.lexsort((hits[1], hits[0]))]
-        cuts = np.flatnonzero(np.diff(hits[0])) + 1
-        for part in np.split(hits, cuts, axis=1):
-            spans = merged([[first, first + n] for first, n in part[1:3].T.tolist()])
-            k = int(part[0, 0])
-            items = sorted({i for w in np.unique(part[3]).tolist() for i in phrases.items[w]}, key=str)
-            out[k] = (counts[k], spans, items)
-    return out
+        for first in range(0, len(words) if len(words) < width else len(words) - width + 1, shard_words):
+            part = words[first : first + shard_words + width - 1]
+            if size + len(part) > shard_words:
+                search()
+                size = 0
+            waiting.append((k, first, part))
+            size += len(part)
+    search()
+    return [(n, spans, sorted(items, key=str)) for n, (spans, items) in zip(counts, found, strict=True)]
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -204,51 +243,65 @@ def without_words(text: str, spans: list[list[int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+class _Blocks:
+    """The written test phrases, block by block; a task that needs only one keeps it."""
+
+    def __init__(self, path: str, size: int) -> None:
+        self.path, self.size, self.kept = path, size, None
+
+    def __call__(self) -> Iterator[Phrases]:
+        if self.kept is not None:
+            yield from self.kept
+            return
+        store, root = fs.FileSystem.from_uri(self.path)
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".parquet"))
+        windows, items, n_blocks = [], [], 0
+        for name in files:
+            with store.open_input_file(name) as f:
+                for batch in pq.ParquetFile(f).iter_batches(min(self.size, 1 << 16)):
+                    windows += batch.column(0).to_pylist()
+                    items += batch.column(1).to_pylist()
+                    if len(windows) >= self.size:
+                        n_blocks += 1
+                        yield Phrases(windows, items)
+                        windows, items = [], []
+        last = Phrases(windows, items)
+        if not n_blocks:
+            self.kept = [last]
+        yield last
+
+
+def write_windows(benchmark: DataFrame, width: int, item_column: str = "item_id", item_text: str = "text") -> str:
+    """Writes the different (window, item) of the benchmark to the shared folder; the path."""
+    kind = benchmark.schema[item_column].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        windows = [list(dict.fromkeys(windows_of(t, width))) for t in batch.column(1).to_pylist()]
+        owner = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+        return pa.RecordBatch.from_arrays([pa.array([w for ws in windows for w in ws], pa.string()), batch.column(0).take(pa.array(owner))], names=["window", "item"])
+
+    path = new_path(benchmark.sparkSession, "windows")
+    map_batches(benchmark.select(item_column, item_text), run, f"window string, item {kind}").distinct().write.parquet(path)
+    return path
+
+
 def find_phrases(df: DataFrame, benchmark: DataFrame, width: int = 10, remove: bool = False, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row: the id, `n_words`, `spans` (merged [first, end) of hit words), `items` (that occur, sorted as strings)
     and `text` without the spans' words if asked for, else null."""
-    spark = df.sparkSession
     kind, item_kind = df.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
-    fields = {"id": f"id {kind}", "text": "text string", "n_words": "n_words bigint", "spans": "spans array<array<bigint>>", "items": f"items array<{item_kind}>"}
-    schema = ", ".join(fields.values())
-    passes, block = [], {}
-    for item in benchmark.select(item_column, item_text).toLocalIterator():
-        for window, items in windows_of([tuple(item)], width).items():
-            block.setdefault(window, set()).update(items - {None})
-        if len(block) >= BLOCK_WINDOWS:
-            passes, block = [*passes, block], {}
-    passes = [*passes, block] if block or not passes else passes
-    none = F.array().cast("array<array<bigint>>")
-    out = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.lit(0).cast("bigint").alias("n_words"), none.alias("spans"), F.array().cast(f"array<{item_kind}>").alias("items"))
-
-    def step(phrases, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                size = first = 0
-                for k, text in enumerate(texts_of(batch.column(1))):
-                    size += len(text)
-                    if size < 6 * SHARD_SYMBOLS and k < batch.num_rows - 1:
-                        continue
-                    part = batch.slice(first, k + 1 - first)
-                    first, size = k + 1, 0
-                    found = search_shard(texts_of(part.column(1)), phrases.value)
-                    spans, items = [f[1] for f in found], [f[2] for f in found]
-                    if pa.compute.sum(pa.compute.list_value_length(part.column(3))).as_py():
-                        spans = [merged(a + b) for a, b in zip(part.column(3).to_pylist(), spans, strict=True)]
-                        items = [sorted({*a, *b}, key=str) for a, b in zip(part.column(4).to_pylist(), items, strict=True)]
-                    texts = part.column(1)
-                    if last and not remove:
-                        texts = pa.nulls(len(found), pa.string())
-                    elif last:
-                        texts = [t if t is None else without_words(t, x) for t, x in zip(texts.to_pylist(), spans, strict=True)]
-                    columns = [part.column(0), texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(item_type))]
-                    yield pa.RecordBatch.from_arrays(columns, names=list(fields))
-
-        return run
-
-    short_batches(df)
-    for k, windows in enumerate(passes):
-        phrases = Phrases([(w, sorted(items, key=str)) for w, items in sorted(windows.items())])
-        out = out.mapInArrow(step(spark.sparkContext.broadcast(phrases), k == len(passes) - 1), schema)
-    return out.withColumnRenamed("id", id_column)
+    names = ["id", "text", "n_words", "spans", "items"]
+    schema = f"id {kind}, text string, n_words bigint, spans array<array<bigint>>, items array<{item_kind}>"
+    path, block, shard = write_windows(benchmark, width, item_column, item_text), BLOCK_WINDOWS, SHARD_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(path, block)
+        for batch in batches:
+            given = batch.column(1).to_pylist()
+            found = _search_texts(texts_of(batch.column(1)), width, blocks, shard)
+            texts = [t if t is None else without_words(t, f[1]) for t, f in zip(given, found, strict=True)] if remove else [None] * len(given)
+            columns = [pa.array(texts, pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int64()))), pa.array([f[2] for f in found], pa.list_(item_type))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+
+    rows = short_batches(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)

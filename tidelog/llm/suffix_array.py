@@ -13,7 +13,7 @@ def suffix_array(values: np.ndarray, enough: int | None = None) -> np.ndarray:
     n = len(values)
     top = int(values.max()) + 1 if n else 1
     bits = max(1, top.bit_length())
-    depth = max(1, 62 // bits)
+    depth = max(1, min(62 // bits, n))
     key = np.zeros(n, np.int64)
     for k in range(depth):
         key <<= bits
