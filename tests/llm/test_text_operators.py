@@ -134,40 +134,105 @@ def test_quality_measures(docs):
 
 
 def test_estimation_finds_the_bad_rows():
-    good, one, two = (1,) * 6, (-1, 1, 1, 1, 1, 1), (1, 1, 1, -1, -1, 1)
-    share, chances = quality_rules.fit([(good, 9000), (one, 600), (two, 300), ((0, 1, 1, 1, 1, 1), 50)])
-    verdict = {p: quality_rules.posterior(share, chances, p) for p in (good, one, two, (0,) * 6)}
-    assert verdict[good] > 0.9 and verdict[one] < 0.5 and verdict[two] < 0.5 and verdict[(0,) * 6] > 0.5
-    assert 0.85 < share < 0.97
-    assert quality_rules.fit([])[0] == 0.9
+    n = len(quality_rules.RULES)
+    good, odd, bad, worse = (1,) * n, (1, 1, 1, -1, *[1] * (n - 4)), (-1, -1, *[1] * (n - 2)), (-1, -1, -1, *[1] * (n - 3))
+    for times in (1, 10, 100):  # the same kinds of documents, the same verdicts
+        patterns = [(good, 90 * times), (odd, 2 * times), (bad, 6 * times), (worse, 3 * times), ((0, *[1] * (n - 1)), times)]
+        share, chances = quality_rules.fit(patterns)
+        verdict = {p: quality_rules.posterior(share, chances, p) for p, _ in patterns}
+        assert verdict[good] > 0.9 and verdict[odd] > 0.5 and verdict[bad] < 0.5 and verdict[worse] < 0.5
+        assert 0.8 < share < 0.97
+    assert quality_rules.fit([])[0] == 0.5
+
+
+def test_estimates_are_at_a_peak_of_the_likelihood():
+    rng = random.Random(8)
+    n = len(quality_rules.RULES)
+    kinds = [(0.9, 0.06, 0.04), (0.3, 0.2, 0.5)]
+    drawn = Counter(tuple(rng.choices((1, 0, -1), kinds[rng.random() < 0.15], k=n)) for _ in range(4000))
+    patterns = sorted(drawn.items())
+
+    def likelihood(share, chances):
+        """Of the documents and the made-up ones, by the definition."""
+        out = sum(m * np.log(share * np.prod([c[v][0] for c, v in zip(chances, p)]) + (1 - share) * np.prod([c[v][1] for c, v in zip(chances, p)])) for p, m in patterns)
+        for c in chances:
+            out += sum(quality_rules.PRIOR[v][k] * np.log(c[v][k]) for v in c for k in (0, 1))
+        prior = [sum(quality_rules.PRIOR[v][k] for v in quality_rules.PRIOR) for k in (0, 1)]
+        return out + prior[0] * np.log(share) + prior[1] * np.log(1 - share)
+
+    share, chances = quality_rules.fit(patterns)
+    best = likelihood(share, chances)
+    assert abs(share - 0.85) < 0.03
+    for _ in range(100):
+        j, k, factor = rng.randrange(n), rng.randrange(2), rng.uniform(0.8, 1.25)
+        moved = [dict(c) for c in chances]
+        raw = {v: [*x] for v, x in moved[j].items()}
+        v = rng.choice((1, 0, -1))
+        raw[v][k] *= factor
+        total = sum(x[k] for x in raw.values())
+        moved[j] = {u: tuple(y / total if i == k else y for i, y in enumerate(x)) for u, x in raw.items()}
+        assert likelihood(share, moved) <= best + 1e-4
+        assert likelihood(min(0.999, share * factor), chances) <= best + 1e-4
+
+
+def windows_by_words(items):
+    """window of words -> the ids of the items that have it."""
+    out = {}
+    for item, text in items:
+        for window in decontaminate.windows_of(text, 10):
+            out.setdefault(tuple(window.split(" ")), set()).update(() if item is None else (item,))
+    return out
+
+
+def hits_by_brute_force(text, windows):
+    words, hit, found = decontaminate.words_of(text), set(), set()
+    for n in {len(w) for w in windows}:
+        for i in range(len(words) - n + 1):
+            if (ids := windows.get(tuple(words[i : i + n]))) is not None:
+                hit |= set(range(i, i + n))
+                found |= ids
+    return len(words), hit, sorted(found, key=str)
 
 
 def test_decontamination(spark, docs, monkeypatch):
-    items = [(1, TEXTS[0]), (2, TEXTS[7]), (30, "one"), (4, ""), (5, None), (6, TEXTS[0]), (7, "Ab ab")]
+    items = [(1, TEXTS[0]), (2, TEXTS[7]), (30, "one"), (4, ""), (5, None), (6, TEXTS[0]), (7, "Ab ab"), (None, TEXTS[9]), (1, TEXTS[0])]
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id bigint, text string, spans string")
-    windows = decontaminate.windows_of(items, 10)
-
-    def brute(text):
-        words, hit, found = decontaminate.words_of(text), set(), set()
-        for n in {len(w) for w in windows}:
-            for i in range(len(words) - n + 1):
-                if ids := windows.get(tuple(words[i : i + n])):
-                    hit |= set(range(i, i + n))
-                    found |= ids
-        return len(words), hit, sorted(found, key=str)
-
-    for block in (200_000, 3):  # one pass, then many
+    windows = windows_by_words(items)
+    rows = docs.unionByName(docs.where("doc_id in (0, 3)")).unionByName(docs.where("doc_id = 7").selectExpr("cast(null as bigint) doc_id", *docs.columns[1:]))
+    texts = {**dict(enumerate(TEXTS)), None: TEXTS[7]}
+    for block, shard in ((200_000, 1 << 19), (3, 1 << 19), (200_000, 40)):  # one block, many, long texts in parts
         monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
-        for r in decontaminate.find_phrases(docs, bench, 10, remove=True).collect():
-            n, hit, found = brute(TEXTS[r.doc_id])
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
+        got = decontaminate.find_phrases(rows, bench, 10, remove=True).collect()
+        assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in rows.select("doc_id").collect())
+        for r in got:
+            text = texts[r.doc_id]
+            n, hit, found = hits_by_brute_force(text, windows)
             assert (r.n_words, {p for a, b in r.spans for p in range(a, b)}, r["items"]) == (n, hit, found)
-            assert (r.text is None) == (TEXTS[r.doc_id] is None)
+            assert (r.text is None) == (text is None)
             if hit:
-                assert [w for k, w in enumerate(decontaminate.words_of(TEXTS[r.doc_id])) if k not in hit] == decontaminate.words_of(r.text)
+                assert [w for k, w in enumerate(decontaminate.words_of(text)) if k not in hit] == decontaminate.words_of(r.text)
     none = decontaminate.find_phrases(docs, bench.limit(0), 10)
     assert all(not r.spans for r in none.collect())
 
 
+def test_decontamination_of_small_shards(spark):
+    rng = random.Random(6)
+    clean = lambda n: " ".join(rng.choice("uvwxyz") * rng.randint(1, 5) for _ in range(n))
+    passage = " ".join(f"q{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    windows = windows_by_words([(1, passage)])
+    texts = [None, "", "a", "q1", clean(5), clean(200_000), passage, clean(3) + " " + passage + " " + clean(100_000)]
+    for n in range(1, 41):  # shards of n clean documents
+        for phrases in (decontaminate.Phrases(list(map(" ".join, windows)), [1] * len(windows)), decontaminate.Phrases([], [])):
+            assert decontaminate.search_shard([clean(k % 4).split() for k in range(n)], [phrases]) == [([], set())] * n
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(len(texts), "doc_id")
+    got = {r.doc_id: r for r in decontaminate.find_phrases(rows, bench).collect()}
+    for i, t in enumerate(texts):
+        n, hit, found = hits_by_brute_force(t, windows)
+        assert (got[i].n_words, sum(b - a for a, b in got[i].spans), got[i]["items"]) == (n, len(hit), found)
+
+
 def test_fm_index_on_random_sequences():
     rng = np.random.default_rng(1)
     for _ in range(20):
