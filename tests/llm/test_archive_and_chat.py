@@ -71,6 +71,49 @@ def test_one_page_id_in_many_ranges(spark, tmp_path):
     assert len({r.file for r in back if r.page_id == 7}) > 5
 
 
+def test_reading_is_linear_and_streams(tmp_path, monkeypatch):
+    import io
+    import random
+    import time
+
+    rng = random.Random(1)
+    page = lambda k: warc.member(warc.page_record(k, "u", rng.randbytes(1600), None, "d"))
+    data = b"".join(page(k) for k in range(20_000))
+    assert len(data) > 32 << 20
+    began = time.perf_counter()
+    assert sum(1 for _ in warc.records(io.BytesIO(data))) == 20_000
+    assert time.perf_counter() - began < 4
+    for block in (1, 7, 1000):
+        monkeypatch.setattr(warc, "BLOCK", block)
+        assert list(warc.members(io.BytesIO(warc.member(b"") + warc.member(b"a" * 5000) + warc.member(b"b")))) == [b"", b"a" * 5000, b"b"]
+    with pytest.raises(ValueError, match="no end"):
+        list(warc.members(io.BytesIO(warc.member(rng.randbytes(5000))[:-9])))
+
+
+def test_a_second_write_loses_nothing(spark, tmp_path):
+    one = spark.createDataFrame(PAGES[:2], "page_id bigint, url string, html string")
+    two = spark.createDataFrame(PAGES[3:5], "page_id bigint, url string, html string")
+    path = f"file://{tmp_path}/a"
+    warc.write_archive(one, path, roll_bytes=1, range_bytes=10)
+    with pytest.raises(Exception, match="has an archive"):
+        warc.write_archive(two, path)
+    assert {r.page_id for r in warc.read_archive(spark, path).collect()} == {1, 2}
+    (tmp_path / "a" / "_temporary" / "other").mkdir(parents=True)
+    warc.write_archive(two, path, overwrite=True)
+    assert {r.page_id for r in warc.read_archive(spark, path).collect()} == {4, 0}
+    assert (tmp_path / "a" / "_temporary" / "other").exists()  # of another write
+    assert len([n for n in os.listdir(tmp_path / "a") if n.endswith(".gz")]) == 1
+    (tmp_path / "a" / "part-00000-00000.warc.gz").write_bytes(b"")
+    with pytest.raises(Exception, match="manifest says"):
+        warc.read_archive(spark, path).collect()
+
+
+def test_urls_come_back_whole(spark, tmp_path):
+    urls = ["http://a/ b", "http://a/b", "http://a/%20b", " \t\r\n x: y\u2028é", "", None]
+    warc.write_archive(spark.createDataFrame([(k, u, "p") for k, u in enumerate(urls)], "page_id bigint, url string, html string"), str(tmp_path / "u"))
+    assert {r.page_id: r.url for r in warc.read_archive(spark, str(tmp_path / "u")).collect()} == dict(enumerate(urls))
+
+
 def test_least_bytes(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:4], "page_id bigint, url string, html string")
     warc.write_archive(pages, f"file://{tmp_path}/a", least_bytes=5)
