@@ -97,7 +97,7 @@ def test_written_runs_are_sorted_and_found(spark, tmp_path):
 def test_ranks_and_order_statistics(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "b", "ab", "é", ""]), i) for i in range(300)]
-    got = ranking.ranked(spark.createDataFrame(rows, "s string, i int"), [("s", False), ("i", True)], parts=5).collect()
+    got = ranking.ranked(spark.createDataFrame(rows, "s string, i int"), [("s", False), ("i", True)], range_rows=40).collect()
     want = sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: r[0].encode(), reverse=True)
     assert {(r.s, r.i): r["rank"] for r in got} == {x: k for k, x in enumerate(want)}
     assert ranking.ranked(spark.createDataFrame([], "s string"), [("s", True)]).count() == 0

@@ -2,44 +2,51 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.storage import drop, written
+
 Order = list[tuple[str, bool]]
 
 
-def _not_after(b: Column, order: Order) -> Column:
-    """Whether a bound stands before the row or ties with it."""
-    out = F.lit(True)
-    for name, ascending in reversed(order):
-        x, y = b[name], F.col(name)
-        out = (x < y if ascending else x > y) | (x.eqNullSafe(y) & out)
-    return out
+#: Rows of a range; ranges whose starts one task adds up.
+RANGE_ROWS, GROUP = 1 << 19, 4096
 
 
-def ranked(df: DataFrame, order: Order, name: str = "rank", parts: int = 32) -> DataFrame:
-    """Adds the row's place from 0 in the order of (column, ascending), whose columns must not be null.
+def prefix_sums(sums: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): the sum of `value` over all smaller keys, for unique whole-number keys.
 
-    Rows are dealt into ranges by bounds that a sample by hash gives, numbered in each, and the ranges' counts are added
-    up: a window over everything would be one task.
+    Keys are taken in groups of GROUP consecutive numbers, whose sums are added up first, so that no task has them all.
     """
-    columns = [c for c, _ in order]
-    n = df.count()
-    one_in = max(1, n // (parts * 32))
-    sampled = df.where(F.pmod(F.xxhash64(*columns), F.lit(one_in)) == 0).select(*columns)
-    found = sampled.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order]).limit(parts * 256).collect()
-    bounds = [found[len(found) * k // parts] for k in range(1, parts)] if found else []
-    bound = lambda r: F.struct(*[F.lit(r[c]).cast(df.schema[c].dataType).alias(c) for c in columns])
-    part = F.size(F.filter(F.array(*map(bound, bounds)), lambda b: _not_after(b, order))) if bounds else F.lit(0)
-    dealt = df.withColumn("__part", part)
-    counts = dealt.groupBy("__part").count()
-    starts = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__part").orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order])
-    numbered = dealt.withColumn("__rn", F.row_number().over(inside) - 1)
-    # a row for each part
-    return numbered.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__rn") + F.col("__start")).cast("bigint")).drop("__part", "__rn", "__start")
+    grouped = sums.select(key, F.col(value).alias("__v"), F.floor(F.col(key) / GROUP).alias("__g"))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("__g").agg(F.sum("__v").alias("__s"))
+    groups = groups.select("__g", F.coalesce(F.sum("__s").over(before("__g")), F.lit(0)).alias("__b"))  # a row for each group
+    inside = grouped.withColumn("__i", F.coalesce(F.sum("__v").over(before("__g", key)), F.lit(0)))
+    return inside.join(groups, "__g").select(key, (F.col("__b") + F.col("__i")).alias(name))
+
+
+def ranked(df: DataFrame, order: Order, name: str = "rank", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds the row's place from 0 in the order of (column, ascending); nulls are first where it ascends.
+
+    The rows are written, and counted by what was written; then dealt into ranges of about `range_rows` by the engine's
+    sample, sorted in them and written again with range and place, so that both are fixed. The ranges' counts are added
+    up: a window over everything would be one task. Rows that agree in all columns of the order stay in one range.
+    """
+    rows = written(df, "rows")
+    parts = max(1, -(-rows.count() // range_rows))
+    by = [F.asc_nulls_first(c) if up else F.desc_nulls_last(c) for c, up in order]
+    dealt = rows.repartitionByRange(parts, *by) if parts > 1 else rows.coalesce(1)
+    # a partition's number in the high bits, the row's place in it in the low 33
+    placed = written(dealt.sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    drop(rows)
+    placed = placed.withColumn("__part", F.shiftright("__id", 33))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = prefix_sums(counts, "__part", "__n", "__start")
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")
+    # a row for each range
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, place.cast("bigint")).drop("__part", "__id", "__start")
 
 
 def order_statistics(df: DataFrame, column: str, shares: list[float], small: int = 10_000) -> dict[float, float]:
@@ -82,7 +89,3 @@ def order_statistics(df: DataFrame, column: str, shares: list[float], small: int
                     out[p] = value
                     break
     return out
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

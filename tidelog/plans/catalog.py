@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import hashing, matrix, strings
 from tidelog.operators import ecs, log, metrics, ranking, resp, runs, spatial
 from tidelog.sources import dumps
+from tidelog.storage import new_path
 from tidelog.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,15 +52,6 @@ def kv_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.snapshot(kv(spark, sf_dir), RUN)
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A folder that all executors see, deleted when the JVM ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints/tidelog"
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 # --- commands
 
 
@@ -176,7 +166,7 @@ def kv_compact(spark, sf_dir):
 @query("kv_written_runs", f"with {KV}, {LAST} select key, value from last where op = 'SET'")
 def kv_written_runs(spark, sf_dir):
     """Runs written sorted, a base published from them, and read back."""
-    path = scratch(spark, "runs")
+    path = new_path(spark, "runs")
     runs.write_runs(kv_runs(spark, sf_dir), f"{path}/pending", WORKERS)
     base = runs.VersionedTable(spark, f"{path}/base")
     base.publish(runs.compact(spark.read.parquet(f"{path}/pending")))
@@ -583,7 +573,7 @@ def event_stream(spark, sf_dir):
 @query("stream_state", f"with {KV}, {LAST} select key, value, seq from last where op = 'SET'")
 def stream_state(spark, sf_dir):
     """The log streamed into runs and a versioned base."""
-    path = scratch(spark, "stream")
+    path = new_path(spark, "stream")
     sink = ingest.RunSink(runs.VersionedTable(spark, f"{path}/base"), f"{path}/runs")
     ingest.into_runs(log.from_events(event_stream(spark, sf_dir)), sink, f"{path}/checkpoint").awaitTermination()
     return sink.current().where("op = 'SET'").select("key", "value", "seq")
@@ -592,7 +582,7 @@ def stream_state(spark, sf_dir):
 @query("stream_rates", "with c as (select date_trunc('second', ts) as second, count(*) as ops from events group by 1) select second, ops from c where second + interval 1 second <= (select max(ts) - interval 10 second from events)")
 def stream_rates(spark, sf_dir):
     """Seconds that the watermark has closed."""
-    path = scratch(spark, "rates")
+    path = new_path(spark, "rates")
     rates = ingest.rates(event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
     rates.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select(F.col("second").cast("timestamp_ntz").alias("second"), "ops")
