@@ -124,7 +124,7 @@ def test_rotation_masks(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 3, "ann", "bye"), (2, None, None, "x"), (None, 600, "a", "é"), (None, 1, "a", "b"), (3, 0, "system", "alone")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id bigint, turn bigint, role string, text string, ts string")
     got = {(r.conv_id, r.participant, r.part): r for r in chat_rotation.rotations(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (None, "a", 0), (None, "a", 1)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (None, "a", 0)}
     ann = got[(1, "ann", 0)]
     assert ann.rendered == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n" + "<|assistant|>\nbye<|end|>\n" * 2
     assert [ann.rendered[m["first"] : m["end"]] for m in ann["mask"]] == ["hi<|end|>\n", "bye<|end|>\n", "bye<|end|>\n"]
@@ -134,16 +134,51 @@ def test_rotation_masks(spark):
     assert chat_rotation.rotations(df.limit(0)).count() == 0
 
 
-def test_rotation_of_long_conversations(spark):
-    turns = [(c, *t) for c in (5, None) for t in [(0, "system", "be kind"), (1, "ann", "hi"), (600, "bob", "yes"), (700, "system", "be brief"), (1100, "system", "end")]]
-    got = {(r.conv_id, r.participant, r.part): r for r in chat_rotation.rotations(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).collect()}
-    assert set(got) == {(c, who, part) for c in (5, None) for who in ("ann", "bob") for part in (0, 1, 2)}
-    for c in (5, None):
-        assert got[(c, "bob", 1)].rendered == "<|system|>\nbe kind<|end|>\n<|assistant|>\nyes<|end|>\n<|system|>\nbe brief<|end|>\n"
-        assert (got[(c, "ann", 1)].n_turns, got[(c, "ann", 1)].n_own, got[(c, "ann", 1)]["mask"]) == (3, 0, [])
-        assert got[(c, "ann", 2)].rendered == "".join(f"<|system|>\n{t}<|end|>\n" for t in ("be kind", "be brief", "end"))
-        first, end = got[(c, "bob", 1)]["mask"][0]
-        assert got[(c, "bob", 1)].rendered[first:end] == "yes<|end|>\n"
+def brute_rotations(turns, span):
+    talks, out = {}, {}
+    for c, t, r, x in turns:
+        talks.setdefault(c, []).append((t is not None, t or 0, r or "unknown", x or ""))
+    for c, talk in talks.items():
+        said = [(r, x) for _, _, r, x in sorted(talk)]
+        first = next((k for k, (r, _) in enumerate(said) if r == "system"), None)
+        for who in {r for r, _ in said} - {"system"}:
+            for part in range(-(-len(said) // span)):
+                seen = said[part * span : (part + 1) * span]
+                if first is not None and first // span < part:
+                    seen = [said[first], *seen]
+                text, mask = "", []
+                for r, x in seen:
+                    text += "<|assistant|>\n" if r == who else "<|system|>\n" if r == "system" else f"<|user name={r}|>\n"
+                    if r == who:
+                        mask.append((len(text), len(text) + len(x) + 8))
+                    text += f"{x}<|end|>\n"
+                out[(c, who, part)] = (text, mask, len(seen))
+    return out
+
+
+@pytest.mark.parametrize("span", [1, 3, 512])
+def test_rotation_of_long_conversations(spark, span):
+    import random
+
+    rng = random.Random(2)
+    turns = [(rng.choice([1, 2, None, 4]), rng.choice([None, 0, 5, rng.randrange(2000)]), rng.choice(["ann", "bob", "system", None, "é"]), rng.choice(["x", "yy", None, ""])) for _ in range(120)]
+    turns += [(9, 1, "early", "only before turn 512")] + [(9, k, "bob", f"t{k}") for k in range(510, 530)] + [(9, 0, "system", "be kind"), (9, 528, "system", "be brief"), (7, 1, "system", "alone"), (7, 2, "system", "alone")]
+    turns += [(8, 5, "ann", "same")] * 12 + [(8, 5, "bob", "same")]
+    rows = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.participant, r.part): (r.rendered, [tuple(m) for m in r["mask"]], r.n_turns) for r in chat_rotation.rotations(rows, span=span).collect()}
+    assert got == brute_rotations(turns, span)
+
+
+def test_rotation_sql_of_long_conversations(spark, tmp_path, monkeypatch):
+    talk = [(c, *t) for c in (5, None) for t in [(0, "system", "be kind"), (1, "early", "hi"), *((k, "bob", f"t{k}") for k in range(2, 1200)), (700, "system", "be brief"), (None, "late", None)]]
+    spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = queries.QUERIES["op6_chat_rotation"](spark, str(tmp_path))
+    cursor = con.execute(queries.ORACLE_SQL["op6_chat_rotation"])
+    columns = [d[0] for d in cursor.description]
+    assert rows_of(got) == sorted(repr([r[columns.index(n)] for n in sorted(got.columns)]) for r in cursor.fetchall())
+    assert {(r.participant, r.part) for r in got.collect()} == {(who, part) for who in ("early", "bob", "late") for part in range(3)}
 
 
 @pytest.mark.parametrize("block", [1, 200_000])

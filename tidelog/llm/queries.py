@@ -127,18 +127,27 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
     sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
 from d left join hit using (k) left join items using (k)
 """,
-    "op6_chat_rotation": """
-with t as (
-    select conv_id, coalesce(cast(floor(turn / 512) as bigint), 0) as part, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as body,
-        row_number() over (partition by conv_id, coalesce(cast(floor(turn / 512) as bigint), 0) order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) as k
+    "op6_chat_rotation": f"""
+with n as (
+    select conv_id, coalesce(role, 'unknown') as role, coalesce(text, '') as body,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) as k
     from conversations
+), f as (
+    select conv_id, min(k) as k from n where role = 'system' group by conv_id
+), p as (
+    select conv_id, (k - 1) // {chat_rotation.SPAN} as part, k, role, body from n
+), t as (
+    select * from p
+    union all
+    select p.conv_id, later.part, p.k, p.role, p.body from p join f on p.conv_id is not distinct from f.conv_id and p.k = f.k
+        join (select distinct conv_id, part from p) as later on later.conv_id is not distinct from p.conv_id and later.part > p.part
 ), s as (
-    select distinct conv_id, part, role as participant from t where role <> 'system'
+    select distinct conv_id, role as participant from n where role <> 'system'
 ), v as (
-    select s.conv_id, s.part, s.participant, t.k, t.role = s.participant as own,
+    select s.conv_id, t.part, s.participant, t.k, t.role = s.participant as own,
         case when t.role = s.participant then '<|assistant|>' || chr(10) when t.role = 'system' then '<|system|>' || chr(10) else '<|user name=' || t.role || '|>' || chr(10) end as head,
         t.body || '<|end|>' || chr(10) as body
-    from s join t on s.conv_id is not distinct from t.conv_id and s.part = t.part
+    from s join t on s.conv_id is not distinct from t.conv_id
 ), w as (
     select *, sum(length(head) + length(body)) over (partition by conv_id, part, participant order by k) as ends from v
 )

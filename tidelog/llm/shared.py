@@ -1,50 +1,19 @@
-"""What the operators share: the cluster's shared folder, written cuts of the lineage, Arrow helpers."""
+"""What the operators share: written cuts of the lineage, Arrow helpers."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from tidelog.storage import drop, new_path  # noqa: F401
+from tidelog.storage import written as cut  # noqa: F401
 
-#: Used only where the cluster names no folder, as in tests.
-OWN_FOLDER = "file:///tmp/checkpoints/tidelog"
 #: Rows of a batch that Python gets.
 ARROW_ROWS = 2000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or OWN_FOLDER).rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the JVM ends."""
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage ends there and survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def drop(*frames: DataFrame) -> None:
-    """Deletes cuts that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def short_batches(df: DataFrame) -> DataFrame:
     """Has the session hand at most ARROW_ROWS rows at a time to Python: texts are long, and buffers stay allocated."""
     conf = df.sparkSession.conf

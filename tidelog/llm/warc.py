@@ -4,8 +4,9 @@ Records are dealt into ranges of their page id and the hashes of their url and p
 chosen by a hash of the three, and sorted in them, so the same rows give the same files. A task writes gzip members, one a
 record, as they come, under temporary names and rolls to a new file by compressed size; the commit gives the files their
 names and then writes the manifest, which the reader goes by, so an archive without one isn't there. Headers, record ids
-and digests are made anew from the rows. An archive that is there is refused, unless it is to be overwritten: then the new
-manifest takes its place before the old files go. Neither reading nor writing holds more than a record and a batch.
+and digests are made anew from the rows. An archive that is there is refused, unless it is to be overwritten: then files of
+the same names are replaced, and a reader meanwhile fails by the manifest's digests. Neither reading nor writing holds more
+than a record and a batch.
 
 Of records with equal payloads of at least `least_bytes`, that with the smallest page id is a response and the others
 are revisits of it. Rows with that smallest id and payload, repeated ones among them, are all responses; a null id is
