@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, language_id, ngrams, quality_model, quality_rules, queries, sentencepiece_codec, sharding, simhash, suffix_dedup
 
@@ -291,18 +292,52 @@ def test_index_family_over_many_batches():
 
 
 def test_shards_hold_all_rows_evenly(spark, docs, monkeypatch):
-    for hot in (10_000, 2):
+    rows = table(spark, [*enumerate(TEXTS), *[(5, "same")] * 50, (None, None), *[(None, None)] * 3])
+    want = Counter((r.doc_id, r.text) for r in rows.collect())
+    orders = []
+    for hot, most, parts in ((10_000, 20_000, 3), (10_000, 20_000, 5), (2, 20_000, 2), (2, 20_000, 4), (10_000, 3, 2), (7, 2, 1)):
         monkeypatch.setattr(sharding, "HOT_ROWS", hot)
-        rows = table(spark, [*enumerate(TEXTS), *[(5, "same")] * 50, (None, None)])
-        got = sharding.shards(rows, 7, bucket_bytes=4000).collect()
-        assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in rows.collect())
+        monkeypatch.setattr(sharding, "MAX_BUCKETS", most)
+        got = sharding.shards(rows.repartition(parts), 7, bucket_bytes=4000).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == want
         sizes = Counter(r["__shard"] for r in got)
         assert len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) <= 1
         assert all(sorted(r["__slot"] for r in got if r["__shard"] == s) == list(range(n)) for s, n in sizes.items())
+        orders.append([(r.doc_id, r.text) for r in sorted(got, key=lambda r: (r["__shard"], r["__slot"]))])
+    # however the rows are dealt to tasks; where there are no hot rows, in one round or two
+    assert orders[0] == orders[1] and orders[2] == orders[3]
     order = lambda seed: [r.doc_id for r in sharding.shards(docs, 1, bucket_bytes=4000, seed=seed).orderBy("__slot").collect()]
     assert order(8) == order(8) != order(9)
 
 
+def test_shards_against_a_plain_shuffle(spark):
+    """By hand: bucket and order by the engine's hashes, then the same Fisher-Yates, one bucket after the other."""
+    rows = [(i, f"text {i % 90} " * (i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    size = sum(len(t) + 64 for _, t in rows)
+    n = -(-size // 3000)
+    key = F.xxhash64(F.lit(8), "doc_id", "text")
+    hashed = df.select("doc_id", "text", key.alias("k"), F.xxhash64(F.lit(10), "text", "doc_id").alias("t")).withColumn("b", F.pmod(F.xxhash64(F.lit(9), "k", F.lit(0).cast("bigint")), F.lit(n))).collect()
+    want = []
+    for b in range(n):
+        members = sorted((r.k, r.t, r.doc_id) for r in hashed if r.b == b)
+        drawn = spark.createDataFrame([(list(range(len(members))),)], "a array<int>").select(F.shuffle("a", 8).alias("a")).first().a
+        want += [members[k][2] for k in drawn]
+    got = sharding.shards(df, 4, bucket_bytes=3000).orderBy("__shard", "__slot").collect()
+    assert sorted(r.doc_id for r in got) == sorted(want) == list(range(200))
+    per = [[r.doc_id for r in got if r["__shard"] == s] for s in range(4)]
+    assert all(len(p) == 50 for p in per)
+    buckets = {r.doc_id: r.b for r in hashed}
+    assert [buckets[i] for p in per for i in p] == sorted(buckets.values())  # buckets follow one another
+    assert len({tuple(p) for p in per}) == 4
+
+
+def test_shards_carry_columns_of_any_type(spark):
+    rows = spark.range(30).selectExpr("id as doc_id", "if(id % 3 = 0, null, 'x') as text", "map('a', id) as m", "array(struct(map(1, id) as n)) as deep", "id as `a.b`")
+    got = sharding.shards(rows, 4, bucket_bytes=500).collect()
+    assert Counter((r.doc_id, r.text, r.m["a"], r.deep[0].n[1], r["a.b"]) for r in got) == Counter((i, None if i % 3 == 0 else "x", i, i, i) for i in range(30))
+
+
 def test_fold(spark):
     import zlib
 
@@ -312,13 +347,109 @@ def test_fold(spark):
 
 def test_class_samples_are_the_smallest_hashes(spark):
     rows = spark.range(3000).selectExpr("id", "if(id % 10 = 0, 'a', 'b') as y").unionByName(spark.range(400).selectExpr("7L as id", "'c' as y"))
-    got = Counter(r.y for r in ngrams.class_sample(rows, "id", "y", 20).collect())
-    assert got == {"a": 20, "b": 20, "c": 20}
-    chosen = {r.id for r in ngrams.class_sample(rows, "id", "y", 20).where("y = 'b'").collect()}
+    got = Counter(r.y for r in ngrams.class_sample(rows, ["id"], "y", 20).collect())
+    assert got == {"a": 20, "b": 20, "c": 1}  # equal rows are one
+    chosen = {r.id for r in ngrams.class_sample(rows, ["id"], "y", 20).where("y = 'b'").collect()}
     order = rows.where("y = 'b'").selectExpr("id", "shiftrightunsigned(xxhash64(id), 11) as h").orderBy("h").limit(20).collect()
     assert chosen == {r.id for r in order}
 
 
+def test_samples_are_bounded_by_rows(spark):
+    one = spark.range(9000).selectExpr("5L as id", "'good' as y", "concat('text ', id) as text")
+    rows = one.unionByName(spark.range(4000).selectExpr("6L as id", "'bad' as y", "'same' as text")).unionByName(spark.range(30).selectExpr("if(id < 5, null, id) as id", "'bad' as y", "if(id % 2 = 0, null, 'q') as text"))
+    got = ngrams.sampled_texts(rows, 20).collect()
+    assert Counter(r.y for r in got) == {"good": 20, "bad": 20} and len({(r.id, r.text) for r in got}) == 40
+    labels = spark.createDataFrame([(5, 1), (5, 1), (6, 0), (None, 1)], "doc_id bigint, quality int")
+    docs = rows.select(F.col("id").alias("doc_id"), "text", F.lit("x").alias("y"), F.lit(1).alias("th"), F.lit(2).alias("id"), F.lit(3).alias("quality"))
+    model = quality_model.train_model(docs, labels)
+    assert all(0 <= r.score <= 1 for r in quality_model.score(docs, model).limit(50).collect())
+
+
+def test_ratios_and_descent_against_their_definitions():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, rng.integers(1, 8))).astype(np.int32) for _ in range(60)]
+    labels = np.array([int(3 in r) ^ int(rng.random() < 0.1) for r in rows])
+    ratios = quality_model.log_count_ratios(rows, labels)
+    size = len(ratios)
+    for f in range(14):
+        p, q = (1 + sum(f in r for r, y in zip(rows, labels) if y == c) for c in (1, 0))
+        total = [size + sum(len(r) for r, y in zip(rows, labels) if y == c) for c in (1, 0)]
+        assert ratios[f] == pytest.approx(np.log(p / total[0]) - np.log(q / total[1]))
+    values = [ratios[r] / np.sqrt(len(r)) for r in rows]
+    w, bias = quality_model.dual_coordinate_descent(rows, values, labels, size, rounds=3000)
+
+    def loss(w, b):
+        margins = np.array([(1 if y else -1) * (w[r] @ v + b) for r, v, y in zip(rows, values, labels)])
+        return (w @ w + b * b) / 2 + np.maximum(0, 1 - margins).sum()
+
+    best = loss(w, bias)  # a convex function: where no small step leads down is its least
+    for _ in range(300):
+        step = np.where(np.arange(size) < 12, rng.normal(0, 10.0 ** rng.integers(-3, 1), size), 0)
+        assert loss(w + step, bias + rng.normal(0, 0.1)) >= best - 1e-3
+
+
+def test_regularised_leader_and_temperature_against_plain_loops():
+    rng = np.random.default_rng(6)
+    languages, size = ["a", "b", "c"], 1 << language_id.BITS
+    idf = rng.uniform(1, 3, size)
+    rows = []
+    for _ in range(60):
+        y = int(rng.integers(3))
+        which = np.unique(rng.integers(10 * y, 10 * y + 14, 6))
+        rows.append((which, rng.integers(1, 4, len(which)), y))
+    model = language_id.train(rows, languages, idf, rounds=2)
+    z, n = {}, {}
+
+    def weight(f, c):
+        if abs(z.get((f, c), 0.0)) <= 0.02:
+            return 0.0
+        return -(z[f, c] - np.sign(z[f, c]) * 0.02) / ((1 + np.sqrt(n[f, c])) / 1.0 + 0.1)
+
+    order, shuffler = np.arange(len(rows)), np.random.default_rng(7)
+    for _ in range(2):
+        shuffler.shuffle(order)
+        for i in order:
+            which, counts, y = rows[i]
+            x = {int(f): (1 + np.log(k)) * idf[f] for f, k in zip(which, counts)}
+            norm = np.sqrt(sum(v * v for v in x.values()))
+            x = {f: v / norm for f, v in x.items()} | {size: 1.0}
+            scores = [sum(weight(f, c) * v for f, v in x.items()) for c in range(3)]
+            p = np.exp(np.array(scores) - max(scores))
+            p /= p.sum()
+            old = {(f, c): weight(f, c) for f in x for c in range(3)}
+            for (f, c), w in old.items():
+                g = (p[c] - (c == y)) * x[f]
+                z[f, c] = z.get((f, c), 0.0) + g - (np.sqrt(n.get((f, c), 0.0) + g * g) - np.sqrt(n.get((f, c), 0.0))) * w
+                n[f, c] = n.get((f, c), 0.0) + g * g
+    for f in [*range(40), size]:
+        for c in range(3):
+            assert (model.bias if f == size else model.weights[f])[c] == pytest.approx(weight(f, c), abs=1e-9)
+    t = language_id.calibrate(model, rows)
+
+    def loss(t):
+        total = 0.0
+        for which, counts, y in rows:
+            s = [v / t for v in model.logits(which, counts)]
+            total += np.log(sum(np.exp(v) for v in s)) - s[y]
+        return total
+
+    assert loss(t) <= min(loss(2.0 ** (k / 4)) for k in range(-16, 17)) + 1e-9
+
+
+def test_classifiers_take_empty_tables_and_clashing_names(spark, docs):
+    more = docs.withColumns({"score": F.lit("x"), "lang_pred": F.lit(1), "y": F.lit(2), "f": F.lit(3), "quality": F.lit(4)})
+    labels = spark.createDataFrame([(i, i % 2, "z") for i in range(40)] + [(None, 1, "z")], "doc_id bigint, quality int, text string")
+    repeated = more.unionByName(more).unionByName(more.limit(3).withColumn("doc_id", F.lit(None).cast("bigint")))
+    model, language = quality_model.train_model(repeated, labels), language_id.train_model(repeated)
+    scored, told = quality_model.score(repeated, model).collect(), language_id.predict(repeated, language).collect()
+    assert len(scored) == len(told) == repeated.count()
+    assert {r.lang_pred for r in told} <= {"en", "und"}
+    assert quality_model.score(more.limit(0), model).count() == language_id.predict(more.limit(0), language).count() == 0
+    # a null text has a score, a text of many characters too
+    long = spark.createDataFrame([(1, "word " * 400_000), (2, None)], "doc_id bigint, text string")
+    assert all(0 <= r.score <= 1 for r in quality_model.score(long, model).collect() + language_id.predict(long, language).collect())
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     forms = {"de": ["der", "und", "schön", "über", "lich"], "fr": ["été", "que", "ment", "eau", "oui"], "en": ["the", "ing", "with", "and", "of"]}

@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of character n-grams.
 
 Document frequencies are counted over all rows to learn from. The regression is trained by follow-the-regularised-leader
-steps with an elastic net, one document at a time, on at most PER_LANGUAGE rows of each language; a fifth of them is left
-out and sets the temperature of the probabilities.
+steps with an elastic net, one document at a time, on at most PER_LANGUAGE different rows of each language; a fifth of them
+is left out and sets the temperature of the probabilities.
 
 Texts that are null or have no letter are `und` with score 0; so is every text if nothing can be learned. Ties go to the
 first language in order. Repeated rows score alike; an empty table gives an empty one; only the id, text and language
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import class_sample, code_points, gram_hashes
+from .ngrams import code_points, gram_hashes, sampled_texts
 from .shared import map_batches, short_batches, texts_of
 
 #: Rows of each language to learn from; bits of a feature; the longest n-gram.
@@ -139,8 +139,7 @@ def train_model(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     known = docs.where(F.col(lang_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("y"))
     total, df = document_frequencies(known.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
-    chosen = class_sample(known, "id", "y", PER_LANGUAGE)
-    texts = known.join(F.broadcast(chosen), ["id", "y"], "left_semi").select("id", "y", "text")
+    texts = sampled_texts(known, PER_LANGUAGE)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [features(t) for t in texts_of(batch.column(2))]

@@ -27,13 +27,14 @@ def fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds
 
 
-def class_sample(labelled: DataFrame, id_column: str, label: str, per_class: int) -> DataFrame:
-    """Ids and labels of at most `per_class` rows of each label, those with the smallest hash of their id.
+def class_sample(rows: DataFrame, keys: list[str], label: str, per_class: int) -> DataFrame:
+    """At most `per_class` different (keys, label) of each label, those with the smallest hash of their keys.
 
     They are looked for among the rows with a hash below a bound that three times as many are expected under; a label
-    with too few there (many rows of few ids) is taken whole. So the numbering doesn't see all rows of a frequent label.
+    with too few different ones there (many equal rows) is taken whole. So the numbering doesn't see all rows of a
+    frequent label, and equal rows, however many, are one.
     """
-    rows = labelled.select(id_column, label).withColumn("__u", F.shiftrightunsigned(F.xxhash64(id_column), 11) / float(1 << 53))
+    rows = rows.select(*keys, label).withColumn("__u", F.shiftrightunsigned(F.xxhash64(*keys), 11) / float(1 << 53))
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a number for each label
     bounds = {y: 3 * per_class / n for y, n in counts.items() if n > 3 * per_class}
 
@@ -41,10 +42,19 @@ def class_sample(labelled: DataFrame, id_column: str, label: str, per_class: int
         bound = F.lit(2.0)
         for y, b in bounds.items():
             bound = F.when(F.col(label).eqNullSafe(F.lit(y)), b).otherwise(bound)
-        return rows.where(F.col("__u") < bound)
+        return rows.where(F.col("__u") < bound).distinct()
 
     if bounds:
         found = {r[0]: r[1] for r in below().groupBy(label).count().collect()}
         bounds = {y: b for y, b in bounds.items() if found.get(y, 0) >= per_class}
-    order = Window.partitionBy(label).orderBy("__u", id_column)
-    return below().withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_class).select(id_column, label)
+    order = Window.partitionBy(label).orderBy("__u", *keys)
+    return below().withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_class).select(*keys, label)
+
+
+def sampled_texts(rows: DataFrame, per_class: int) -> DataFrame:
+    """At most `per_class` different rows of (id, text) of each label `y`: id, y, text. The bound is on rows, not ids."""
+    rows = rows.select("id", "y", "text", F.xxhash64("text").alias("th"))
+    chosen = class_sample(rows, ["id", "th"], "y", per_class).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("y").alias("__y"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")) & F.col("y").eqNullSafe(F.col("__y"))
+    # at most per_class rows of each label are broadcast
+    return rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["id", "th", "y"]).select("id", "y", "text")

@@ -3,7 +3,8 @@
 Indicators of hashed character n-grams (and of the share of repeated word triples, in tenths) are scaled by the logarithm
 of the ratio of their smoothed frequencies in the classes; on them a linear hinge-loss model is fitted by dual coordinate
 descent; its margins become probabilities by a logistic curve fitted on margins of rows left out, under the real shares
-of the classes. It learns from at most PER_CLASS labelled rows of each class; every row is scored.
+of the classes. It learns from at most PER_CLASS different labelled rows of each class, however many rows an id has; every
+row is scored.
 
 Null and empty texts have no indicators and get the score of the model's intercept. Without labels of both classes the
 score is the share of label 1, or one half. Repeated rows score alike; an empty table gives an empty one; only the id and
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import class_sample, code_points, gram_hashes
+from .ngrams import code_points, gram_hashes, sampled_texts
 from .shared import map_batches, texts_of
 
 #: Labelled rows of each class to learn from; bits of a feature; the longest n-gram.
@@ -104,12 +105,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float) -> Model:
 
 
 def train_model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality") -> Model:
-    """Learns from the texts of the labelled ids (one row an id; null labels teach nothing)."""
+    """Learns from the different texts of the labelled ids; null ids and labels teach nothing, an id with both is of both."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    chosen = class_sample(known, "id", "y", PER_CLASS)
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    texts = sampled_texts(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(known.distinct(), "id"), PER_CLASS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = pa.array([indicators(t) for t in texts_of(batch.column(2))], pa.list_(pa.int32()))
