@@ -62,7 +62,7 @@ def _numbered(df: DataFrame, seed: int) -> DataFrame:
 
 def _second_pass(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """Buckets as partitions, shuffled: `__g`, the row's place in the whole table, and its columns."""
-    together = rows.repartitionById(n, F.pmod("__bucket", F.lit(n)).cast("int")).groupBy("__bucket")
+    together = rows.repartitionById(n, F.col("__bucket")).groupBy("__bucket")  # one exchange: the bucket is the partition
     together = together.agg(F.collect_list(F.when(F.col("__row").isNotNull(), F.struct("__key", "__tie", "__copy", "__row"))).alias("__rows"), F.max("__start").alias("__start"))
     order = F.array_sort(F.transform("__rows", lambda r, i: F.struct(r["__key"], r["__copy"], r["__tie"], i.alias("i"))))
     drawn = F.transform(F.shuffle(order, seed), lambda o: F.get("__rows", o["i"])["__row"])
@@ -76,7 +76,7 @@ def scatter_shuffle(df: DataFrame, text_column: str = "text", bucket_bytes: int
     total, n_rows = df.agg(F.sum(size.cast("bigint")), F.count("*")).first()
     n = max(1, -(-(total or 0) // bucket_bytes))
     rows = _numbered(df, seed)
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__key", "__copy"), F.lit(n)))
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__key", "__copy"), F.lit(n)).cast("int"))
     counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
     starts = prefix_sums(counts, "__bucket", "__n", "__start")
     nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("__row", "__key", "__tie", "__copy")]
@@ -88,7 +88,8 @@ def scatter_shuffle(df: DataFrame, text_column: str = "text", bucket_bytes: int
     runs = -(-n // MAX_BUCKETS)
     dealt.withColumn("__run", F.expr(f"__bucket div {MAX_BUCKETS}")).repartition(runs, "__run").write.partitionBy("__run").parquet(coarse)
     written = df.sparkSession.read.schema(StructType([*dealt.schema.fields, StructField("__run", LongType())])).parquet(coarse)
-    done = [cut(_second_pass(written.where(F.col("__run") == r).drop("__run"), min(n, MAX_BUCKETS), seed), "shuffled") for r in range(runs)]
+    inside = F.pmod("__bucket", F.lit(MAX_BUCKETS)).cast("int")
+    done = [cut(_second_pass(written.where(F.col("__run") == r).drop("__run").withColumn("__bucket", inside), MAX_BUCKETS, seed), "shuffled") for r in range(runs)]
     return reduce(DataFrame.unionByName, done), n_rows
 
 
