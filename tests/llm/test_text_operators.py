@@ -357,7 +357,8 @@ def test_class_samples_are_the_smallest_hashes(spark):
 def test_samples_are_bounded_by_rows(spark):
     one = spark.range(9000).selectExpr("5L as id", "'good' as y", "concat('text ', id) as text")
     rows = one.unionByName(spark.range(4000).selectExpr("6L as id", "'bad' as y", "'same' as text")).unionByName(spark.range(30).selectExpr("if(id < 5, null, id) as id", "'bad' as y", "if(id % 2 = 0, null, 'q') as text"))
-    got = ngrams.sampled_texts(rows, 20).collect()
+    hashed = ngrams.hashed_texts(rows, "id", "text", F.col("y"))
+    got = ngrams.sampled_texts(hashed, hashed, 20).collect()
     assert Counter(r.y for r in got) == {"good": 20, "bad": 20} and len({(r.id, r.text) for r in got}) == 40
     labels = spark.createDataFrame([(5, 1), (5, 1), (6, 0), (None, 1)], "doc_id bigint, quality int")
     docs = rows.select(F.col("id").alias("doc_id"), "text", F.lit("x").alias("y"), F.lit(1).alias("th"), F.lit(2).alias("id"), F.lit(3).alias("quality"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import code_points, gram_hashes, sampled_texts
+from .ngrams import code_points, gram_hashes, hashed_texts, sampled_texts
 from .shared import map_batches, short_batches, texts_of
 
 #: Rows of each language to learn from; bits of a feature; the longest n-gram.
@@ -139,7 +139,8 @@ def train_model(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     known = docs.where(F.col(lang_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("y"))
     total, df = document_frequencies(known.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
-    texts = sampled_texts(known, PER_LANGUAGE)
+    hashed = hashed_texts(known, "id", "text", F.col("y"))
+    texts = sampled_texts(hashed, hashed, PER_LANGUAGE)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [features(t) for t in texts_of(batch.column(2))]

@@ -51,10 +51,16 @@ def class_sample(rows: DataFrame, keys: list[str], label: str, per_class: int) -
     return below().withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_class).select(*keys, label)
 
 
-def sampled_texts(rows: DataFrame, per_class: int) -> DataFrame:
-    """At most `per_class` different rows of (id, text) of each label `y`: id, y, text. The bound is on rows, not ids."""
-    rows = rows.select("id", "y", "text", F.xxhash64("text").alias("th"))
-    chosen = class_sample(rows, ["id", "th"], "y", per_class).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("y").alias("__y"))
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")) & F.col("y").eqNullSafe(F.col("__y"))
-    # at most per_class rows of each label are broadcast
-    return rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["id", "th", "y"]).select("id", "y", "text")
+def hashed_texts(df: DataFrame, id_column: str, text_column: str, *more: Column) -> DataFrame:
+    """id, text and its hash th, and more columns."""
+    return df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("th"), *more)
+
+
+def sampled_texts(docs: DataFrame, labelled: DataFrame, per_class: int) -> DataFrame:
+    """At most `per_class` different texts of each label y of (id, th, y): id, y, text. The bound is on rows, not ids.
+
+    Only ids and hashes are numbered and joined; the texts are read again for those chosen, a bounded number.
+    """
+    chosen = class_sample(labelled, ["id", "th"], "y", per_class).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "y")
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    return docs.select("id", "text", "th").join(F.broadcast(chosen), same).dropDuplicates(["id", "th", "y"]).select("id", "y", "text")

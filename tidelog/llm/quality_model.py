@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import code_points, gram_hashes, sampled_texts
+from .ngrams import code_points, gram_hashes, hashed_texts, sampled_texts
 from .shared import map_batches, texts_of
 
 #: Labelled rows of each class to learn from; bits of a feature; the longest n-gram.
@@ -109,7 +109,8 @@ def train_model(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    texts = sampled_texts(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(known.distinct(), "id"), PER_CLASS)
+    hashed = hashed_texts(docs, id_column, text_column)
+    texts = sampled_texts(hashed, hashed.select("id", "th").join(known.distinct(), "id"), PER_CLASS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = pa.array([indicators(t) for t in texts_of(batch.column(2))], pa.list_(pa.int32()))
