@@ -26,10 +26,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Has the engine delete an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage ends there and survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    """Writes df to the shared folder and reads it again: the lineage ends there and survives lost executors.
+
+    What was shuffled for it isn't needed any more and goes at once; the session's setting is as before.
+    """
+    path, conf = new_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a plan of its own, as the setting is taken when a plan is made
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
