@@ -9,7 +9,7 @@ Sorting all suffixes of a corpus is out of reach, so equal strings are first bro
    repeat. Equal snippets count as one, so hot passages shrink before anything is compared.
 3. The other snippets, once each, go to tasks by their anchor. A task takes them in batches: a batch gets a suffix
    array, is merge-scanned against the existing levels for matches of the full length, and joins the levels, of which
-   equal-sized ones merge. An anchor with very many different snippets is cut finer first: the same steps with longer
+   equal-sized ones merge. A family of levels ends at an anchor once it has FAMILY bytes, so a task's memory is bounded. An anchor with very many different snippets is cut finer first: the same steps with longer
    k-grams, up to the whole string, where an anchor's count decides.
 
 Null and empty texts, and those shorter than `length`, keep all bytes. Documents that are equal, rows repeated with one
@@ -33,6 +33,8 @@ from .suffix_array import suffix_array
 GRAMS = (0.2, 0.6, 0.8, 0.9, 0.95, 1.0)
 #: Different snippets of one anchor beyond which it is cut finer; bytes of a batch and of a block of documents.
 HOT_SNIPPETS, BATCH, BLOCK = 4096, 1 << 20, 1 << 20
+#: Bytes of snippets of an index family, beyond which it ends with its anchor.
+FAMILY = 32 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -160,26 +162,54 @@ class Level:
         self.words = _words(buffer)
         self.heads = self.words[places].astype(np.uint64)
 
-    def find(self, other: Level, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each string of the other level its place in the order here, and whether it is here, by bisection."""
+    def scan(self, other: Level, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each string of the other level its place in the order here, and whether it is here, by a merge scan.
+
+        Both are sorted, so they are merged by their first eight bytes; where those agree, the strings of both are merged
+        by the next eight, and so on, until they are apart or equal.
+        """
         lo = np.searchsorted(self.heads, other.heads, "left")
         hi = np.searchsorted(self.heads, other.heads, "right")
         here = np.zeros(len(lo), bool)
-        open_ = np.flatnonzero(lo < hi)
-        while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            order = _compare(other.words, other.places[open_], self.words, self.places[mid], length)
-            equal = open_[order == 0]
-            here[equal] = True
-            lo[equal] = hi[equal] = mid[order == 0]
-            lo[open_[order > 0]] = mid[order > 0] + 1
-            hi[open_[order < 0]] = mid[order < 0]
-            open_ = open_[(lo[open_] < hi[open_]) & ~here[open_]]
-        return lo, here
+        theirs = np.flatnonzero(lo < hi)
+        if not len(theirs):
+            return lo, here
+        # the runs here that some of theirs agree with, each once
+        starts, first_of, run = np.unique(lo[theirs], return_index=True, return_inverse=True)
+        sizes = hi[theirs][first_of] - starts
+        mine = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        n = len(mine)
+        group = np.r_[np.repeat(np.arange(len(starts)), sizes), run]
+        new = np.r_[np.zeros(n, bool), np.ones(len(theirs), bool)]
+        who = np.arange(len(group))
+        place = np.r_[self.places[mine], other.places[theirs]]
+        below = np.zeros(len(theirs), np.int64)  # strings of its run here that stand before each of theirs
+        for step in _steps(length)[1:]:
+            word = np.empty(len(who), np.uint64)
+            word[~new] = self.words[place[~new] + step]
+            word[new] = other.words[place[new] + step]
+            by = np.lexsort((word, group))
+            group, word, who, new, place = group[by], word[by], who[by], new[by], place[by]
+            next_group = np.r_[True, np.diff(group) != 0]
+            heads = np.flatnonzero(next_group | np.r_[True, word[1:] != word[:-1]])
+            cell = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(group)]))
+            counts = np.cumsum(~new) - ~new  # of mine before each
+            start_of = np.maximum.accumulate(np.where(next_group, np.arange(len(group)), 0))
+            below[who[new] - n] += (counts[heads][cell] - counts[start_of])[new]
+            # what goes on: cells with strings of both
+            both = (np.bincount(cell, new, len(heads)) > 0) & (np.bincount(cell, ~new, len(heads)) > 0)
+            on = both[cell]
+            group, who, new, place = cell[on], who[on], new[on], place[on]
+            if not len(who):
+                break
+        here[theirs[who[new] - n]] = True
+        at = lo.copy()
+        at[theirs] += below
+        return at, here
 
     def with_(self, other: Level, length: int) -> Level:
         """Both levels, which have no string in common, as one."""
-        at, _ = self.find(other, length)
+        at, _ = self.scan(other, length)
         slots = at + np.arange(len(at))
         mine = np.ones(len(self.places) + len(at), bool)
         mine[slots] = False
@@ -210,7 +240,7 @@ class IndexFamily:
         new = Level(buffer, order[head], np.zeros(len(members), np.int64))
         classes = np.full(len(members), -1, np.int64)
         for level in self.levels:
-            at, here = level.find(new, self.length)
+            at, here = level.scan(new, self.length)
             classes[here] = level.classes[at[here]]
         fresh = classes < 0
         self.repeats[classes[~fresh]] = True
@@ -272,14 +302,18 @@ def _finer(length: int, k: int):
     return run
 
 
-def _family(length: int):
-    """The repeated strings among a task's snippets, as ranges of string places in their first snippets."""
+def _family(length: int, batch_bytes: int, family_bytes: int):
+    """The repeated strings among a task's snippets, as ranges of string places in their first snippets.
+
+    The snippets come by anchor. Equal strings have one anchor, so a family that has grown to `family_bytes` ends with
+    its anchor, and the next anchor begins a new one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, seen = IndexFamily(length), set()
-        kept: list[tuple[np.ndarray, ...]] = []
+        index, seen, kept = IndexFamily(length), set(), []
         waiting: list[tuple] = []
-        size = 0
+        size = total = 0
+        anchor = None
 
         def enter() -> None:
             buffer = np.frombuffer(b"".join(x[5] for x in waiting), np.uint8)
@@ -292,39 +326,44 @@ def _family(length: int):
             classes = index.add(buffer, starts[owner] + place, certain[owner])
             kept.append((np.array([x[:3] for x in waiting], np.int64).reshape(-1, 3), m, classes))
 
+        def found() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                enter()
+            for origin, m, classes in kept:
+                owner = np.repeat(np.arange(len(m)), m)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
+                who, a, b = _runs(index.repeats[classes], owner, place)
+                off = origin[who, 2]
+                yield pa.RecordBatch.from_arrays([pa.array(origin[who, 0]), pa.array(origin[who, 1]), pa.array((a + off).astype(np.int32)), pa.array((b + off).astype(np.int32))], names=["oh", "os", "a", "b"])
+
         for batch in batches:
-            for oh, os, _, sh, off, _, n, data in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            for oh, os, h, sh, off, _, n, data in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if h != anchor:
+                    anchor, seen = h, set()
+                    if total >= family_bytes:
+                        yield from found()
+                        index, kept, waiting, size, total = IndexFamily(length), [], [], 0, 0
                 if (oh, os, off) in seen:  # of a document that is there twice
                     continue
                 seen.add((oh, os, off))
                 waiting.append((oh, os, off, sh, n, data))
                 size += len(data)
-                if size >= BATCH:
+                total += len(data)
+                if size >= batch_bytes:
                     enter()
                     waiting, size = [], 0
-        if waiting:
-            enter()
-        for origin, m, classes in kept:
-            owner = np.repeat(np.arange(len(m)), m)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m, m)
-            who, a, b = _runs(index.repeats[classes], owner, place)
-            off = origin[who, 2]
-            yield pa.RecordBatch.from_arrays([pa.array(origin[who, 0]), pa.array(origin[who, 1]), pa.array((a + off).astype(np.int32)), pa.array((b + off).astype(np.int32))], names=["oh", "os", "a", "b"])
+        yield from found()
 
     return run
 
 
-def free_shuffles(spark) -> None:
-    """Lets the engine delete the shuffle files of steps whose results are written."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+def _in_families(pieces: DataFrame, length: int) -> DataFrame:
+    """The pieces by anchor, through families of bounded bytes."""
+    return pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_family(length, BATCH, FAMILY), _RANGE)
 
 
 def _compare_snippets(pieces: DataFrame, length: int, k: int) -> DataFrame:
     """Ranges of repeated strings of the snippets: hot anchors are cut finer, the others go to the index families."""
-    spark = pieces.sparkSession
     hot = cut(pieces.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT_SNIPPETS).select("h"), "hot")
     ranges, rest = [], pieces
     if hot.limit(1).count():
@@ -340,36 +379,35 @@ def _compare_snippets(pieces: DataFrame, length: int, k: int) -> DataFrame:
             mixed = known.where("lo <> hi").select(*finer.columns)
             counts = mixed.groupBy("h").agg(F.count("*").alias("c"))
             cold = mixed.join(counts.where(F.col("c") <= HOT_SNIPPETS), "h").select(*finer.columns)
-            ranges.append(cut(cold.repartition("h").mapInArrow(_family(length), _RANGE), "ranges"))
+            ranges.append(cut(_in_families(cold, length), "ranges"))
             more = cut(mixed.join(counts.where(F.col("c") > HOT_SNIPPETS), "h").select(*finer.columns), "hot")
             if not more.limit(1).count():
                 break
-    out = cut(rest.repartition("h").mapInArrow(_family(length), _RANGE), "ranges")
+    out = cut(_in_families(rest, length), "ranges")
     for r in ranges:
         out = out.union(r)
-    free_shuffles(spark)
     return out
 
 
 def repeats(df: DataFrame, length: int = 200, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per different (id, text hash) that has repeated strings: `id`, `th` and `found`, arrays of their places (s, [a, b))."""
-    spark = df.sparkSession
+    if length < 8:
+        raise ValueError("strings are compared by words of eight bytes")
     docs = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).alias("text"))
     k = round(length * GRAMS[0])
     found = short_batches(docs).mapInArrow(_document_snippets(length, k), f"id {df.schema[id_column].dataType.simpleString()}, th bigint, h bigint, sh bigint, s int, m int")
+    found = cut(found, "found")
     again = found.groupBy("h").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("c > 1")
     # written first: a join of two plain exchanges, of which the engine can split hot partitions
     again = cut(again.selectExpr("h", "lo = hi as alike"), "anchors")
     candidates = cut(found.join(again, "h"), "candidates")
-    drop(again)
-    free_shuffles(spark)
+    drop(again, found)
     mixed = candidates.where("not alike")
     firsts = mixed.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s", "m")).alias("at"))
     wants = firsts.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("h", "sh", F.col("at.s").alias("s"), F.col("at.m").alias("m"), "n")).alias("wants"))
     w, d = wants.alias("w"), docs.alias("d")
     joined = d.join(w, F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.th") == F.col("w.th"))).select("d.text", "w.wants", F.lit(length - 1).alias("extra"))
     pieces = cut(joined.mapInArrow(_fetch, _PIECE), "snippets")
-    free_shuffles(spark)
     ranges = _compare_snippets(pieces, length, k)
     drop(pieces)
     spans = ranges.groupBy(F.col("oh").alias("h"), F.col("os").alias("sh")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
@@ -377,7 +415,6 @@ def repeats(df: DataFrame, length: int = 200, id_column: str = "doc_id", text_co
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("m").alias("b")))
     marks = candidates.where("alike").select("id", "th", "s", whole.alias("ranges")).union(mixed.join(spans, ["h", "sh"]).select("id", "th", "s", "ranges"))
     out = cut(marks.groupBy("id", "th").agg(F.collect_set(F.struct("s", "ranges")).alias("found")), "marks")
-    free_shuffles(spark)
     return out
 
 
