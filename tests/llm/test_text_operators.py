@@ -71,7 +71,9 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_simhash_groups(spark, docs):
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_simhash_groups(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)  # a bucket of more is dealt again
     near = " ".join(f"w{i}" for i in range(400))
     texts = [*TEXTS, *(near.replace(f"w{k} ", f"v{k} ", 1) for k in range(0, 60, 3))]
     rows = simhash.near_duplicates(table(spark, texts)).collect()
@@ -100,7 +102,7 @@ def test_large_buckets_are_searched_exactly():
             x = parent[x]
         return x
 
-    for a, b in simhash.linked(fps, 4):
+    for a, b in simhash.linked(fps, simhash.pivot_table(fps), 4):
         for x, y in zip(a.tolist(), b.tolist()):
             assert (x ^ y).bit_count() <= 4
             parent[root(x)] = root(y)
@@ -257,10 +259,11 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("hot", "batch"), [(4096, 1 << 20), (2, 3000)])
-def test_suffix_dedup(spark, monkeypatch, hot, batch):
+@pytest.mark.parametrize(("hot", "batch", "family"), [(4096, 1 << 20, 32 << 20), (2, 3000, 1), (4096, 700, 5000)])
+def test_suffix_dedup(spark, monkeypatch, hot, batch, family):
     monkeypatch.setattr(suffix_dedup, "HOT_SNIPPETS", hot)
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    monkeypatch.setattr(suffix_dedup, "FAMILY", family)
     rows = [*enumerate(TEXTS), (3, TEXTS[3]), (3, TEXTS[3]), (None, TEXTS[2]), (4, "another text of the same id " * 3)]
     got = Counter((r.doc_id, frozenset(p for a, b in r.removed for p in range(a, b)), bytes(r.kept)) for r in suffix_dedup.remove_repeats(table(spark, rows), 60).collect())
     assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], 60)))
@@ -291,6 +294,25 @@ def test_index_family_over_many_batches():
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+def test_merge_scan_of_two_levels():
+    rng = np.random.default_rng(9)
+
+    def level(n, length, letters):
+        buffer = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        if letters == 2:  # long equal beginnings
+            buffer[rng.random(n) < 0.9] = 97
+        strings = {bytes(buffer[i : i + length]): i for i in range(n - length + 1)}
+        order = sorted(strings)
+        return suffix_dedup.Level(buffer, np.array([strings[x] for x in order]), np.arange(len(order))), order
+
+    for length, letters in ((24, 2), (9, 3), (13, 26), (32, 2), (8, 2)):
+        for sizes in ((400, 300), (60, 900), (900, 40)):
+            (a, mine), (b, theirs) = (level(n, length, letters) for n in sizes)
+            at, here = a.scan(b, length)
+            assert here.tolist() == [x in set(mine) for x in theirs]
+            assert at.tolist() == [sum(y < x for y in mine) for x in theirs]
+
+
 def test_shards_hold_all_rows_evenly(spark, docs, monkeypatch):
     rows = table(spark, [*enumerate(TEXTS), *[(5, "same")] * 50, (None, None), *[(None, None)] * 3])
     want = Counter((r.doc_id, r.text) for r in rows.collect())
