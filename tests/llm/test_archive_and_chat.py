@@ -243,14 +243,14 @@ def test_pipeline_stages(spark):
     assert stages["sentencepiece"](spark, clean, SMALL).count() == len(cut)
 
 
-@pytest.mark.parametrize("few", [0, 8])
-def test_near_copies_of_five_word_shingles(spark, monkeypatch, few):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_near_copies_of_five_word_shingles(spark, monkeypatch, block):
     import random
 
     import corpus_pipeline
     from tidelog.llm import near_copies, simhash
 
-    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "BLOCK", block)  # a bucket of more is compared by blocks
     rng = random.Random(3)
     texts = []
     for _ in range(12):

@@ -3,9 +3,10 @@ of op2's fingerprints.
 
 Texts that op2's fingerprints link are one group from the start. Pairs of other texts meet in BANDS buckets by ROWS
 minima of their shingle hashes each; at a similarity of exactly 0.8 a pair shares no bucket with probability
-(1 - 0.8**5)**32, 3 in a million. Pairs that meet are verified by their shingles themselves. While the pairs of a round
-would be many, each bucket's members are first compared to one of them, and those found alike are one group in the next
-round; in the last round all pairs of a bucket that still are in different groups are compared, none left out.
+(1 - 0.8**5)**32, 3 in a million. Of buckets that hold more than one group, the texts are compared by their sets of
+shingles, as 64-bit hashes: a search from a text takes out what it reaches, so a bucket of near copies is done soon; texts
+that are not alike are all compared, by counting along the lists of who has a shingle. A bucket beyond BLOCK texts, or of
+very many shingles, is cut into blocks, and each two blocks are compared by themselves, so no task holds a whole bucket.
 
 Null and empty texts, repeated rows, null ids and empty tables are as in `simhash`.
 """
@@ -17,16 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import cut, folded, map_batches, short_batches
+from .shared import cut, drop, folded, map_batches, short_batches
 
 WIDTH, ALIKE = 5, 0.8
 BANDS, ROWS = 32, 5
-#: Pairs for each bucket row up to which a round compares all.
-FEW = 8
+#: Texts, and shingles, of a block.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
 _FACTORS = np.random.default_rng(5).integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -36,11 +37,6 @@ def shingles(text: str | None, width: int = WIDTH) -> set[bytes]:
     return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def alike(a: set[bytes], b: set[bytes], least: float = ALIKE) -> bool:
-    both = len(a & b)
-    return both > 0 and both >= least * (len(a) + len(b) - both)
-
-
 def minima(found: set[bytes]) -> np.ndarray:
     """The least of the shingles' hashes under each factor."""
     hashes = np.fromiter((xxhash.xxh64_intdigest(s) for s in found), np.uint64, len(found))
@@ -100,21 +96,82 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return short_batches(rows).repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, th bigint, fp bigint, n int, root bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) of the roots of those pairs (x, y) of text hashes whose texts are alike."""
+def links(sets: list[np.ndarray], sizes: np.ndarray, roots: np.ndarray, least: float = ALIKE) -> list[tuple[int, int]]:
+    """Edges of roots, enough to connect all texts that are alike; `sets` has each text's shingle hashes, each once."""
+    count = len(sets)
+    owner = np.repeat(np.arange(count), [len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    lists = owner[np.argsort(ids, kind="stable")]  # who has each shingle, shingle by shingle
+    ends = np.cumsum(np.bincount(ids))
+    own = np.split(ids, np.cumsum([len(x) for x in sets])[:-1])
+
+    def near(x: int) -> np.ndarray:
+        both = np.bincount(np.concatenate([lists[ends[i - 1] if i else 0 : ends[i]] for i in own[x]]), minlength=count)
+        return (both > 0) & (both >= least * (sizes + sizes[x] - both))
+
+    edges, alive = [], np.ones(count, bool)
+    for seed in range(count):
+        if not alive[seed]:
+            continue
+        reached = alive & (roots == roots[seed])
+        alive &= ~reached
+        front = np.flatnonzero(reached).tolist()
+        while front and (left := int(alive.sum())):
+            if left < len(front):  # the others' searches are fewer
+                for y in np.flatnonzero(alive):
+                    edges += [(int(r), int(roots[y])) for r in np.unique(roots[near(y)]) if r != roots[y]]
+                return edges
+            x = front.pop()
+            found = np.unique(roots[alive & near(x)])
+            if len(found):
+                edges += [(int(roots[x]), int(r)) for r in found]
+                reached = alive & np.isin(roots, found)
+                alive &= ~reached
+                front += np.flatnonzero(reached).tolist()
+    return edges
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) of the roots of alike texts among the rows (cell, n, root, text) of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list = [(None, set()), (None, set())]
-        for batch in batches:
-            good = []
-            for texts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                last = [old if old[0] == t else (t, shingles(t)) for old, t in zip(last, texts, strict=True)]
-                good.append(alike(last[0][1], last[1][1]))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        cell, held, edges = None, [], set()
 
-    of = lambda name: texts.select(F.col("th").alias(name), F.col("text").alias(f"{name}_text"))
-    both = pairs.join(of("x"), "x").join(of("y"), "y").select("a", "b", "x_text", "y_text")
-    return short_batches(both).mapInArrow(run, "a bigint, b bigint").distinct()
+        def search() -> None:
+            if len({r for _, r, _ in held}) > 1:
+                edges.update((min(e), max(e)) for e in links([x for _, _, x in held], np.array([n for n, _, _ in held]), np.array([r for _, r, _ in held])))
+
+        def out() -> pa.RecordBatch:
+            pairs = sorted(edges)
+            edges.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for c, n, root, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c != cell:
+                    search()
+                    cell, held = c, []
+                    if len(edges) > 10_000:
+                        yield out()
+                held.append((n, root, np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles(text)), np.uint64))))
+        search()
+        yield out()
+
+    return short_batches(rows).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _cells(buckets: DataFrame, block: int, shingle_block: int) -> DataFrame:
+    """The bucket rows by cell: a bucket, or each two blocks of one that is large."""
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
+    n_blocks = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("total") / shingle_block)).cast("int")
+    large = cut(sizes.select("key", n_blocks.alias("blocks")).where("blocks > 1"), "large")
+    if not large.limit(1).count():
+        return buckets.withColumn("cell", F.col("key"))
+    small = buckets.join(large, "key", "left_anti").withColumn("cell", F.col("key"))
+    mine = buckets.join(large, "key").withColumn("mine", F.pmod(F.xxhash64("th"), F.col("blocks")))
+    other = F.explode(F.expr("sequence(0L, cast(blocks - 1 as bigint))"))
+    dealt = mine.withColumn("other", other).withColumn("cell", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    return small.unionByName(dealt.select(*small.columns))
 
 
 def groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -128,30 +185,11 @@ def groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     buckets = cut(_mixed(nodes.select(F.explode("keys").alias("key"), "th", "fp", "n", "root")), "buckets")
     texts = cut(given.join(buckets.select("th").distinct(), "th", "left_semi").select("th", "text").dropDuplicates(["th"]), "texts")
 
-    size_fits: Column = F.least("p.n", "q.n") >= ALIKE * F.greatest("p.n", "q.n")
-    turn, last = 0, False
-    while not last:
-        turn += 1
-        now = cut(buckets.drop("root").join(names, "fp").select("key", "th", "n", "root"), "round")
-        each = now.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        members, pairs = each.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-        if not pairs:
-            break
-        last = pairs <= FEW * members
-        while True:
-            if last:
-                other = now
-            else:
-                other = now.groupBy("key").agg(F.min_by(F.struct("th", "n", "root"), F.xxhash64("th", F.lit(turn))).alias("w")).select("key", "w.*")
-            met = now.alias("p").join(other.alias("q"), "key").where((F.col("p.root") != F.col("q.root")) & size_fits)
-            if last:
-                met = met.where("p.th < q.th")
-            found = cut(_verified(met.select(F.col("p.root").alias("a"), F.col("q.root").alias("b"), F.col("p.th").alias("x"), F.col("q.th").alias("y")).distinct(), texts), "alike")
-            if last or found.limit(1).count():
-                break
-            last = True  # comparing to one member finds nothing more
-        moved = simhash.components(found)
-        names = cut(names.join(moved, names.root == moved.node, "left").select("fp", F.coalesce(moved.root, names.root).alias("root")), "names")
+    cells = _cells(buckets, BLOCK, BLOCK_SHINGLES).join(texts, "th").select("cell", "n", "root", "text")
+    found = cut(_compared(cells), "alike")
+    drop(buckets, texts)
+    moved = simhash.components(found)
+    names = names.join(moved, names.root == moved.node, "left").select("fp", F.coalesce(moved.root, names.root).alias("root"))
     rooted = rows.select("id", "fp").join(names, "fp")
     named = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(named, "root").select(F.col("id").alias(id_column), "component_id")
