@@ -219,3 +219,44 @@ def test_dump_sizes_report_runs_of_any_length(spark, tmp_path):
     got = {r.run: r for r in catalog.kv_dump_sizes(spark, str(tmp_path)).collect()}
     assert {k: r.entries for k, r in got.items()} == {0: 3, 1: 1, 2: 1}
     assert got[0].bytes == sum((8 + 12 + len(f"click:{k}") + 7) // 8 * 8 for k in range(2500))
+
+
+def test_threads_without_operations_are_left_out(spark):
+    names = ("total_ops", "parse_cycles", "exec_cycles", "send_cycles", "recv_cycles", "redirects", "parse_fails")
+    rows = [(1, 2, 10, 20, 30, 40, 0, 1), (1, 3, 5, 5, 5, 5, 1, 0), (2, 0, 9, 9, 9, 9, 1, 1)]
+    got = metrics.thread_report(spark.createDataFrame(rows, "thread int, " + ", ".join(f"{n} bigint" for n in names))).collect()
+    assert [tuple(r) for r in got] == [(1, 5, 3, 5, 7, 9, 1, 1)]
+
+
+def test_frame_stream_takes_files_whatever_their_names(spark, tmp_path):
+    frames.register(spark)
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+
+    def go():
+        stream = spark.readStream.format("resp_frames").option("path", f"file://{folder}").option("maxBytes", "40").load()
+        stream.select(F.col("key").cast("string").alias("key")).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "c")).start().processAllAvailable()
+        for q in spark.streams.active:
+            q.stop()
+        return sorted(r.key for r in spark.read.parquet(str(out)).collect())
+
+    for k in (9, 8, 7):
+        (folder / f"{k}.resp").write_bytes(f"*2\r\n$3\r\nGET\r\n$2\r\nk{k}\r\n".encode())
+    assert go() == ["k7", "k8", "k9"]
+    time.sleep(0.05)
+    (folder / "1.resp").write_bytes(b"*2\r\n$3\r\nGET\r\n$2\r\nk1\r\n")
+    assert go() == ["k1", "k7", "k8", "k9"]
+
+
+def test_gauge_and_prefix_sums_over_many_parts(spark, monkeypatch):
+    from tidelog.operators import ranking
+
+    monkeypatch.setattr(ranking, "GROUP", 7)
+    rng = random.Random(3)
+    rows = [(k, rng.randint(-3, 3), k // 5) for k in range(300) if rng.random() < 0.8]
+    got = {r.t: r.gauge for r in metrics.gauge(spark.createDataFrame(rows, "t bigint, d int, p bigint"), "t", "d", "p").collect()}
+    total, want = 0, {}
+    for t, d, _ in rows:
+        total += d
+        want[t] = total
+    assert got == want

@@ -36,6 +36,20 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.when(a != b, F.get(places, F.lit(0)))
 
 
+def byte_at(s: Column, i: int) -> Column:
+    """The byte at a place from 0, as a number; null beyond the text."""
+    two = F.substring(F.hex(F.encode(s, "UTF-8")), 2 * i + 1, 2)
+    return F.when(two != "", F.conv(two, 16, 10).cast("int"))
+
+
+def first_differing_byte(a: Column, b: Column) -> Column:
+    """The place of the first byte that differs, counted from 0; null if the strings are equal."""
+    x, y = (F.hex(F.encode(s, "UTF-8")) for s in (a, b))
+    places = F.sequence(F.lit(0), F.least(F.octet_length(a), F.octet_length(b)))
+    other = F.filter(places, lambda i: F.substring(x, 2 * i + 1, F.lit(2)) != F.substring(y, 2 * i + 1, F.lit(2)))
+    return F.when(a != b, F.get(other, F.lit(0)))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """The longest common prefix of two strings."""
     return F.when(a == b, a).otherwise(F.substring(a, F.lit(1), first_difference(a, b)))

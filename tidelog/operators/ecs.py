@@ -82,8 +82,8 @@ class Registry:
 
 
 def add(c: DataFrame, new: DataFrame) -> DataFrame:
-    """New entities' rows; ids that are there keep theirs."""
-    return c.unionByName(new.join(c, ID, "left_anti"))
+    """New entities' rows, one an id; ids that are there keep theirs."""
+    return c.unionByName(new.dropDuplicates([ID]).join(c, ID, "left_anti"))
 
 
 def remove(c: DataFrame, ids: DataFrame) -> DataFrame:

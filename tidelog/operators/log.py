@@ -25,7 +25,8 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The last write of each key, tombstones too: one hash aggregation, combined before the shuffle, so hot keys are harmless."""
+    """The last write of each key, tombstones too: combined before the shuffle, so hot keys are harmless. The engine sorts
+    for it, as what it keeps for a key has strings."""
     last = F.max_by(F.struct("op", "value"), "seq").alias("w")
     writes = log.where(F.col("op").isin(*WRITES)).groupBy("key").agg(last, F.max("seq").alias("seq"))
     return writes.select("key", "seq", "w.op", "w.value")
@@ -44,25 +45,25 @@ def _before(log: DataFrame, *keys: str) -> Column:
     return F.last(write, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
 
 
-def get_asof(log: DataFrame, span: int | None = None) -> DataFrame:
-    """Each GET with the value that its key had at that point: an as-of join of the log to itself.
+def _seen(log: DataFrame, span: int | None) -> DataFrame:
+    """The log with `w`, the write that each command's key had last before it.
 
     With a span, the log of a key is cut at multiples of that many seq numbers, and what a cut-off part needs from the
     parts before comes from their last writes, so that a hot key isn't one task's work.
     """
     if span is None:
-        seen = log.withColumn("w", _before(log, "key"))
-    else:
-        parts = log.withColumn("part", F.floor(F.col("seq") / span))
-        inside = parts.withColumn("w", _before(parts, "key", "part"))
-        lasts = parts.where(F.col("op").isin(*WRITES)).groupBy("key", "part").agg(F.max_by(F.struct("op", "value"), "seq").alias("last"))
-        reads = parts.where("op = 'GET'").select("key", "part").distinct()
-        carried = reads.withColumn("last", F.lit(None).cast(lasts.schema["last"].dataType)).withColumn("ask", F.lit(True))
-        steps = lasts.withColumn("ask", F.lit(False)).unionByName(carried)
-        order = Window.partitionBy("key").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
-        carry = steps.withColumn("carry", F.last("last", ignorenulls=True).over(order)).where("ask").select("key", "part", "carry")
-        seen = inside.join(carry, ["key", "part"], "left").withColumn("w", F.coalesce("w", "carry"))
-    gets = seen.where("op = 'GET'")
+        return log.withColumn("w", _before(log, "key"))
+    parts = log.withColumn("part", F.floor(F.col("seq") / span))
+    inside = parts.withColumn("w", _before(parts, "key", "part"))
+    lasts = parts.groupBy("key", "part").agg(F.max_by(F.struct("op", "value"), F.when(F.col("op").isin(*WRITES), F.col("seq"))).alias("last"))
+    order = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.withColumn("carry", F.last("last", ignorenulls=True).over(order)).select("key", "part", "carry")
+    return inside.join(carry, ["key", "part"], "left").withColumn("w", F.coalesce("w", "carry")).drop("part", "carry")
+
+
+def get_asof(log: DataFrame, span: int | None = None) -> DataFrame:
+    """Each GET with the value that its key had at that point: an as-of join of the log to itself, cut at spans if given."""
+    gets = _seen(log, span).where("op = 'GET'")
     return gets.select("seq", "key", F.when(F.col("w.op") == "SET", F.col("w.value")).alias("value"))
 
 
@@ -72,9 +73,9 @@ def bulk(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("$"), size, F.lit("\r\n"), value, F.lit("\r\n")), F.lit("$-1\r\n"))
 
 
-def replies(log: DataFrame, workers: int = 1) -> DataFrame:
-    """The wire reply of each command: of SET, DEL (always 1), WKS, and of GET by the as-of read."""
-    seen = log.withColumn("w", _before(log, "key"))
+def replies(log: DataFrame, workers: int = 1, span: int | None = None) -> DataFrame:
+    """The wire reply of each command: of SET, DEL (always 1), WKS, and of GET by the as-of read, cut at spans if given."""
+    seen = _seen(log, span)
     op = F.col("op")
     reply = (
         F.when(op == "SET", F.lit("+OK\r\n"))
@@ -119,9 +120,16 @@ def workers(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1).select(F.lit(n).alias("workers"))
 
 
-def generated(spark: SparkSession, n: int, form: str = "key:%08d", value: str = "val1") -> DataFrame:
-    """A log of SETs with sequential keys, as load tests send them."""
-    return spark.range(n).select(F.col("id").alias("seq"), F.format_string(form, "id").alias("key"), F.lit("SET").alias("op"), F.lit(value).alias("value"))
+def random_below(number: Column, most: int, seed: int = 42) -> Column:
+    """A number below `most` for each number, the same each time: a multiplicative congruence."""
+    mixed = F.pmod((number + seed).cast("decimal(20,0)") * F.lit(2862933555777941).cast("decimal(17,0)"), F.lit(4294967291).cast("decimal(10,0)"))
+    return F.floor(mixed.cast("bigint") / 65536) % most
+
+
+def generated(spark: SparkSession, n: int, form: str = "key:%08d", value: str = "val1", key: Column | None = None) -> DataFrame:
+    """A log of SETs as load tests send them: keys in sequence, or of another number made from `id`."""
+    number = F.col("id") if key is None else key
+    return spark.range(n).select(F.col("id").alias("seq"), F.format_string(form, number).alias("key"), F.lit("SET").alias("op"), F.lit(value).alias("value"))
 
 
 def stress_pairs(spark: SparkSession, threads: int, ops: int) -> DataFrame:

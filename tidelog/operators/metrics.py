@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ranking import order_statistics
+from tidelog.operators.ranking import order_statistics, prefix_sums
 
 
 def per_second(events: DataFrame, ts: str = "ts") -> DataFrame:
@@ -27,12 +27,10 @@ def deltas(totals: DataFrame, by: str, total: str) -> DataFrame:
     return totals.withColumn("delta", F.col(total) - F.coalesce(F.lag(total).over(Window.orderBy(by)), F.lit(0)))
 
 
-def gauge(changes: DataFrame, by: str, delta: str, parts: str | None = None) -> DataFrame:
-    """A running sum of changes; with a column of parts whose order is that of `by`, per part plus the parts before."""
-    if parts is None:
-        return changes.withColumn("gauge", F.sum(delta).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+def gauge(changes: DataFrame, by: str, delta: str, parts: str) -> DataFrame:
+    """A running sum of changes, per part plus the parts before; `parts` is a whole number whose order is that of `by`."""
     sums = changes.groupBy(parts).agg(F.sum(delta).alias("__d"))
-    before = sums.select(parts, F.coalesce(F.sum("__d").over(Window.orderBy(parts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    before = prefix_sums(sums, parts, "__d", "__b")
     inside = F.sum(delta).over(Window.partitionBy(parts).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
     return changes.withColumn("__s", inside).join(before, parts).withColumn("gauge", F.col("__s") + F.col("__b")).drop("__s", "__b")
 

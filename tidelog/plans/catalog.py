@@ -92,6 +92,12 @@ def kv_replies(spark, sf_dir):
     return log.replies(kv(spark, sf_dir))
 
 
+@query("kv_replies_split", ORACLE_SQL["kv_replies"])
+def kv_replies_split(spark, sf_dir):
+    """The same replies with each key's log cut into parts, for hot keys."""
+    return log.replies(kv(spark, sf_dir), span=1000)
+
+
 @query("kv_point_lookup", f"with {KV}, {LAST} select key, value, seq from last where op = 'SET' and key = 'key:00000007'")
 def kv_point_lookup(spark, sf_dir):
     return log.lookup(log.state(kv(spark, sf_dir)), "key:00000007")
@@ -121,13 +127,17 @@ def kv_workers(spark, sf_dir):
 
 @query(
     "kv_tiered_get",
-    f"""with {KV}, {RUNS}, t as (select key, op, value, 0 as tier from runs where run = 3 union all select key, op, value, 1 from runs where run = 2 union all select key, op, value, 2 from runs where run < 1),
-    f as (select *, row_number() over (partition by key order by tier) as rn from t), k as (select distinct key from kv)
-    select k.key, case when op = 'SET' then value end as value, coalesce(op = 'SET', false) as found, tier from k left join f on k.key = f.key and rn = 1""",
+    f"""with {KV}, {RUNS}, top as (select max(run) as top from runs), t as (
+        select key, op, value, cast(least(top - run, 2) as int) as tier, row_number() over (partition by key order by run desc) as rn from runs, top),
+    k as (select distinct key from kv)
+    select k.key, case when op = 'SET' then value end as value, coalesce(op = 'SET', false) as found, tier from k left join t on k.key = t.key and rn = 1""",
 )
 def kv_tiered_get(spark, sf_dir):
+    """All keys, read through the newest run, the run before it and the last writes of all older ones."""
     r = kv_runs(spark, sf_dir)
-    return log.tiered_get(kv(spark, sf_dir).select("key").distinct(), r.where("run = 3"), r.where("run = 2"), r.where("run < 1"))
+    top = r.agg(F.max("run")).first()[0] or 0
+    older = log.latest(r.where(F.col("run") < top - 1))
+    return log.tiered_get(kv(spark, sf_dir).select("key").distinct(), r.where(F.col("run") == top), r.where(F.col("run") == top - 1), older)
 
 
 @query("kv_op_counts", f"with {KV} select op, count(*) as ops from kv group by op")
@@ -150,6 +160,16 @@ def gen_sequential(spark, sf_dir):
     return log.generated(spark, 20000)
 
 
+@query("gen_modulo", "select range as seq, 'key:' || lpad(cast(range % 512 as varchar), 4, '0') as key, 'SET' as op, 'val1' as value from range(20000)")
+def gen_modulo(spark, sf_dir):
+    return log.generated(spark, 20000, "key:%04d", key=F.col("id") % 512)
+
+
+@query("gen_random", "select cast(range as bigint) as seq, 'key:' || lpad(cast(((range + 42) * 2862933555777941 % 4294967291 // 65536) % 10000 as varchar), 4, '0') as key, 'SET' as op, 'val1' as value from (select cast(range as hugeint) as range from range(20000))")
+def gen_random(spark, sf_dir):
+    return log.generated(spark, 20000, "key:%04d", key=log.random_below(F.col("id"), 10000))
+
+
 # --- runs and compaction
 
 
@@ -203,13 +223,31 @@ def kv_record_bytes(spark, sf_dir):
     return kv_runs(spark, sf_dir).groupBy("run").agg(F.count("*").alias("records"), F.sum(runs.record_bytes(F.col("key"), F.col("value"))).alias("bytes"))
 
 
-@query("kv_dump_sizes", f"with {KV}, {RUNS} select run, cast(sum((8 + octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0) + 7) // 8 * 8) as bigint) as bytes, 1 as entries from runs group by run having count(*) <= {EVERY}")
+@query("kv_dump_sizes", f"with {KV}, {RUNS} select run, cast(sum((8 + octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0) + 7) // 8 * 8) as bigint) as bytes, cast((count(*) + {EVERY - 1}) // {EVERY} as int) as entries from runs group by run")
 def kv_dump_sizes(spark, sf_dir):
     """Binary dumps of all runs, with an index entry, of 24 bytes, for each 1024 records or part of them."""
     made = dumps.dumped(kv_runs(spark, sf_dir))
     return made.select("run", F.octet_length("data").cast("bigint").alias("bytes"), (F.octet_length("index") / 24).cast("int").alias("entries"))
 
 
+_SIZE = "(8 + octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0) + 7) // 8 * 8"
+_RECORDS = f"o as (select run, key, op, value, cast(coalesce(sum({_SIZE}) over (partition by run order by key desc rows between unbounded preceding and 1 preceding), 0) as bigint) as byte_offset, row_number() over (partition by run order by key desc) - 1 as rn from runs)"
+
+
+@query("kv_dump_records", f"with {KV}, {RUNS}, {_RECORDS} select run, byte_offset, key, op, value from o")
+def kv_dump_records(spark, sf_dir):
+    """Run files written in the binary format and scanned again."""
+    path = dumps.write_dumps(kv_runs(spark, sf_dir), new_path(spark, "dumps"))
+    return dumps.read_runs(spark, f"{path}/*.bin").select(dumps.run_of("file").alias("run"), F.col("offset").alias("byte_offset"), F.col("key").cast("string").alias("key"), "op", F.col("value").cast("string").alias("value"))
+
+
+@query("kv_dump_index", f"with {KV}, {RUNS}, {_RECORDS} select run, rn, key, byte_offset from o where rn % {EVERY} = 0")
+def kv_dump_index(spark, sf_dir):
+    """Their sparse indexes, loaded."""
+    path = dumps.write_dumps(kv_runs(spark, sf_dir), new_path(spark, "dumps"))
+    return dumps.read_indexes(spark, f"{path}/*.idx").select(dumps.run_of("file").alias("run"), "rn", F.col("key").cast("string").alias("key"), F.col("offset").alias("byte_offset"))
+
+
 @query("kv_run_files", f"select cast(s as int) as shard, 3 as chunks, cast(3 * 100 * s + 3 as bigint) as bytes from range({WORKERS}) r(s)")
 def kv_run_files(spark, sf_dir):
     made = spark.range(30).select(F.format_string("/data/shard_%d_chunk_%d.bin", F.expr("id div 3"), F.col("id") % 3).alias("path"), (F.expr("id div 3") * 100 + F.col("id") % 3).alias("length"))
@@ -334,6 +372,50 @@ def matrix_functions(spark, sf_dir):
     return p.select("s_suppkey", F.col("m")[0].alias("scaled_x"), (F.col("m")[5] + F.col("q")[13]).alias("moved_y"), F.round(matrix.inverse(F.col("q"))[0], 9).alias("inverse_x"), matrix.transpose(F.col("t"))[3].alias("transposed"))
 
 
+_ANGLE = "((s_suppkey % 7 + 1) / 8.0::double)"
+
+
+@query(
+    "matrix_projections",
+    f"""select s_suppkey, round(1 / tan({_ANGLE} / 2) / 1.5, 9) as persp_x, round(1 / tan({_ANGLE} / 2), 9) as persp_y, round(100 / (100 - 0.5), 9) as persp_z, 1.0::double as persp_w, round(-0.5 * 100 / (100 - 0.5), 9) as persp_near,
+        round(2 / {_ANGLE}, 9) as ortho_x, round(1 / (100 - 0.5), 9) as ortho_z, round(-0.5 / (100 - 0.5), 9) as ortho_near, round(cos({_ANGLE}), 9) as turned_cos, round(sin({_ANGLE}), 9) as turned_x, round(-sin({_ANGLE}), 9) as turned_z, 4.0::double as trace from supplier""",
+)
+def matrix_projections(spark, sf_dir):
+    """Perspective and orthographic projections, rotations about each axis, the identity."""
+    angle = (F.col("s_suppkey") % 7 + 1) / F.lit(8.0)
+    p = table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        matrix.perspective(angle, F.lit(1.5), F.lit(0.5), F.lit(100.0)).alias("p"),
+        matrix.orthographic(angle, F.lit(2.0), F.lit(0.5), F.lit(100.0)).alias("o"),
+        *[matrix.rotation(axis, angle).alias(f"r{axis}") for axis in "xyz"],
+    )
+    same = matrix.multiply(matrix.identity(), matrix.identity())
+    cell = lambda name, k, alias: F.round(F.col(name)[k], 9).alias(alias)
+    return p.select(
+        "s_suppkey",
+        *[cell("p", k, f"persp_{n}") for k, n in ((0, "x"), (5, "y"), (10, "z"), (11, "w"), (14, "near"))],
+        *[cell("o", k, f"ortho_{n}") for k, n in ((0, "x"), (10, "z"), (14, "near"))],
+        cell("rz", 0, "turned_cos"),
+        cell("rx", 6, "turned_x"),
+        cell("ry", 2, "turned_z"),
+        sum((same[5 * k] for k in range(1, 4)), same[0]).alias("trace"),
+    )
+
+
+@query(
+    "byte_functions",
+    """select c_custkey, cast(octet_length(encode(c_name)) as int) as bytes, 67 + c_custkey % 3 as third, case when c_custkey % 4 = 0 then null else 2 + 2 * (c_custkey % 4) end as differs from (select c_custkey, 'é' || c_name as c_name from customer)""",
+)
+def byte_functions(spark, sf_dir):
+    """The byte at a place, and the first byte that two strings differ in, of texts that aren't ASCII."""
+    n = F.col("c_custkey") % 4
+    name = F.concat(F.lit("é"), F.col("c_name"))
+    a = F.concat(F.repeat(F.lit("é"), (n + 1).cast("int")), F.lit("x"))
+    b = F.concat(F.repeat(F.lit("é"), (n + 1).cast("int")), F.when(n == 0, "x").otherwise("y"))
+    third = F.concat(F.lit("é"), F.element_at(F.array(F.lit("C"), F.lit("D"), F.lit("E")), (F.col("c_custkey") % 3 + 1).cast("int")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.octet_length(name).alias("bytes"), strings.byte_at(third, 2).cast("bigint").alias("third"), strings.first_differing_byte(a, b).cast("bigint").alias("differs"))
+
+
 # --- entities
 
 
@@ -375,6 +457,19 @@ def ecs_group_sync(spark, sf_dir):
     return group.desync(c.where("entity_id % 11 = 0").select(ecs.ID)).rows
 
 
+@query("ecs_group_each", f"with {_CUSTOMERS}, {_SPENDING} select entity_id, balance * 2 + orders as score from c join s using (entity_id)")
+def ecs_group_each(spark, sf_dir):
+    """A function of the caller's own over a group's rows, batch by batch."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def score(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["entity_id"], pc.add(pc.multiply(b["balance"], 2.0), pc.cast(b["orders"], pa.float64()))], names=["entity_id", "score"])
+
+    return ecs.Group(customers(spark, sf_dir), spending(spark, sf_dir)).each(score, "entity_id bigint, score double")
+
+
 @query("ecs_group_sort_str", f"with {_CUSTOMERS} select entity_id, name, row_number() over (order by name desc, entity_id) - 1 as rank from c")
 def ecs_group_sort_str(spark, sf_dir):
     return ecs.sort_by_string(customers(spark, sf_dir).select(ecs.ID, "name"), "name")
@@ -508,7 +603,7 @@ def rps_plot(spark, sf_dir):
 @query("rps_delta", f"with {_RPS}, d as (select second, sum(ops) over (order by second) as total from (select * from r order by second desc limit 100)) select second, cast(total as bigint) as total, cast(total - coalesce(lag(total) over (order by second), 0) as bigint) as delta from d")
 def rps_delta(spark, sf_dir):
     newest = metrics.last_samples(metrics.per_second(table(spark, sf_dir, "events")))
-    totals = metrics.gauge(newest, "second", "ops").select("second", F.col("gauge").alias("total"))
+    totals = metrics.gauge(newest.withColumn("part", F.unix_seconds(F.col("second").cast("timestamp"))), "second", "ops", "part").select("second", F.col("gauge").alias("total"))
     return metrics.deltas(totals, "second", "total")
 
 
@@ -537,12 +632,12 @@ def latency_stats(spark, sf_dir):
 @query(
     "thread_report",
     """with m as (select l_suppkey % 24 as thread, count(*) filter (l_returnflag <> 'R') as total_ops, sum(l_partkey) as parse_cycles, sum(l_orderkey) as exec_cycles, sum(l_linenumber) as send_cycles, sum(l_suppkey) as recv_cycles,
-        count(*) filter (l_linestatus = 'O') as redirects, count(*) filter (l_returnflag = 'R') as parse_fails from lineitem where l_suppkey % 24 <> 5 or l_returnflag = 'R' group by 1)
+        count(*) filter (l_linestatus = 'O') as redirects, count(*) filter (l_returnflag = 'R') as parse_fails from lineitem group by 1)
     select thread, total_ops, cast(parse_cycles // total_ops as bigint) as avg_parse_cycles, cast(exec_cycles // total_ops as bigint) as avg_exec_cycles, cast(send_cycles // total_ops as bigint) as avg_send_cycles, cast(recv_cycles // total_ops as bigint) as avg_recv_cycles, redirects, parse_fails from m where total_ops <> 0""",
 )
 def thread_report(spark, sf_dir):
-    """Threads stand for suppliers; one has no operations and is left out."""
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey % 24 <> 5 or l_returnflag = 'R'")
+    """Threads stand for suppliers."""
+    lines = table(spark, sf_dir, "lineitem")
     each = lines.select(
         (F.col("l_suppkey") % 24).alias("thread"),
         F.expr("cast(l_returnflag <> 'R' as bigint)").alias("total_ops"),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the format: the length of a tombstone, and records for each entry of the sparse index.
@@ -46,6 +48,55 @@ def encode_index(data: bytes) -> bytes:
     return bytes(out)
 
 
+def decode_index(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, key) of the entries of a sparse index, until the data ends or is cut off."""
+    at = 0
+    while at + 12 <= len(data):
+        size, offset = struct.unpack_from("<IQ", data, at)
+        if not size or at + 12 + size > len(data):
+            return
+        yield offset, data[at + 12 : at + 12 + size]
+        at += (12 + size + 7) // 8 * 8
+
+
+def run_of(file: str) -> Column:
+    """The run's number, from the name of a file that write_dumps made."""
+    return F.regexp_extract(file, r"_chunk_(\d+)\.", 1).cast("bigint")
+
+
+def write_dumps(runs: DataFrame, path: str) -> str:
+    """A data and an index file for each run in a folder that all executors see, under names of their own until whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root)
+        for batch in batches:
+            for number, *files in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for data, end in zip(files, ("bin", "idx"), strict=True):
+                    name = f"{root}/shard_0_chunk_{number}.{end}"
+                    temporary = f"{name}.{uuid.uuid4().hex}.tmp"
+                    with store.open_output_stream(temporary, compression=None) as out:
+                        out.write(data)
+                    store.move(temporary, name)
+            yield batch.select([0])
+
+    dumped(runs).mapInArrow(run, "run bigint").write.format("noop").mode("overwrite").save()
+    return path
+
+
+def read_indexes(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of index files: file, rn (the record's number), offset, key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(file, k * INDEX_EVERY, at, key) for file, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (at, key) in enumerate(decode_index(data))]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["file", "rn", "offset", "key"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, rn bigint, offset bigint, key binary")
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Records of run files: file, length, offset, key, op, value."""
 

@@ -46,19 +46,39 @@ class FrameReader(DataSourceReader):
 
 
 class FrameStream(DataSourceStreamReader):
-    """The files that are there, in the order of their names, a partition each; later names come in later batches."""
+    """The files that are there, a partition each, at most `most_bytes` of them in a batch, but one at least.
 
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
+    The offset is the modification time and name of the last file taken, and the names taken of that time: a file that
+    comes later is read whatever its name.
+    """
+
+    def __init__(self, folder: str, most_bytes: int) -> None:
+        self.folder, self.most_bytes, self.at = folder, most_bytes, {"time": 0, "names": []}
+
+    def _after(self, start: dict) -> list[tuple[int, str, int]]:
+        store, root = fs.FileSystem.from_uri(self.folder)
+        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        files = sorted((f.mtime_ns or 0, f.base_name, f.size or 0) for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
+        return [f for f in files if f[0] > start["time"] or (f[0] == start["time"] and f[1] not in start["names"])]
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"time": 0, "names": []}
 
     def latestOffset(self) -> dict:
-        return {"after": max(_files(self.folder), default="")}
+        taken, size = self.at, 0
+        for time, name, length in self._after(self.at):
+            if size and size + length > self.most_bytes:
+                break
+            size += length
+            taken = {"time": time, "names": [*(taken["names"] if taken["time"] == time else []), name]}
+        return taken
 
     def partitions(self, start: dict, end: dict) -> list[FrameFile]:
-        return [FrameFile(n) for n in _files(self.folder) if start["after"] < n <= end["after"]]
+        self.at = end
+        return [FrameFile(n) for t, n, _ in self._after(start) if t < end["time"] or (t == end["time"] and n in end["names"])]
+
+    def commit(self, end: dict) -> None:
+        self.at = end
 
     def read(self, partition: FrameFile) -> Iterator[tuple]:
         if isinstance(partition, FrameFile):
@@ -66,7 +86,7 @@ class FrameStream(DataSourceStreamReader):
 
 
 class RespFrames(DataSource):
-    """Format resp_frames; option path."""
+    """Format resp_frames; option path, and for a stream maxBytes of a batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -79,7 +99,7 @@ class RespFrames(DataSource):
         return FrameReader(self.options["path"])
 
     def streamReader(self, schema) -> FrameStream:
-        return FrameStream(self.options["path"])
+        return FrameStream(self.options["path"], int(self.options.get("maxBytes", str(1 << 30))))
 
 
 @dataclass
