@@ -68,6 +68,23 @@ def test_routing_hash_vectors(spark):
     assert {r.key: r.s for r in got} == {k: v % 11 for k, v in vectors.items()}
 
 
+def test_map_hash_is_the_routing_hash_mixed_once_more(spark):
+    rng = random.Random(6)
+    keys = ["", "a", "key:00000042", *("x" * rng.randint(1, 40) + str(rng.random()) for _ in range(30))]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    routed = df.withColumn("h", hashing.routing_hash(F.col("key")))
+    for r in routed.withColumn("m", hashing.map_hash(F.col("h"))).collect():
+        mixed = int(r.h) * 0xC4CEB9FE1A85EC53 % (1 << 64)
+        assert int(r.m) == mixed ^ mixed >> 33
+
+
+def test_replies_go_back_in_each_connections_order(spark):
+    rng = random.Random(7)
+    rows = [(c, k, f"{c}.{k};") for c in range(3) for k in range((0, 5, 23)[c])]
+    got = log.reply_buffers(spark.createDataFrame(rng.sample(rows, len(rows)), "conn int, place bigint, reply string"), 10).collect()
+    assert {(r.conn, r.part): r.data for r in got} == {(c, p): "".join(f"{c}.{k};" for k in range(p * 10, min(n, p * 10 + 10))) for c, n in ((1, 5), (2, 23)) for p in range(-(-n // 10))}
+
+
 def test_versioned_table(spark, tmp_path):
     table = runs.VersionedTable(spark, f"file://{tmp_path}/t")
     assert table.read() is None
@@ -90,8 +107,24 @@ def test_written_runs_are_sorted_and_found(spark, tmp_path):
     records = spark.range(5000).select(F.format_string("%05d", "id").alias("key"), F.col("id").cast("string").alias("value"))
     index = runs.sparse_index(records.select("key"))
     assert sorted(r.key for r in index.collect()) == ["00903", "01927", "02951", "03975", "04999"]
-    for key, found in (("00000", 1), ("02951", 1), ("04999", 1), ("05000", 0), ("", 0)):
-        assert runs.indexed_lookup(records, index, key).count() == found
+
+
+def test_sorted_tables_are_read_by_their_index(spark, tmp_path):
+    records = spark.range(0, 10000, 2).select(F.format_string("%05d", "id").alias("key"), F.col("id").cast("string").alias("value"))
+    # four files, as small ranges would be put together
+    records.repartitionByRange(4, F.desc("key")).sortWithinPartitions(F.desc("key")).write.parquet(f"file://{tmp_path}/base")
+    base, index = spark.read.parquet(f"file://{tmp_path}/base"), runs.file_index(spark, f"file://{tmp_path}/base", 100)
+    assert index.select("file").distinct().count() == 4 and index.count() >= 50
+    for key in ("00000", "02950", "04998", "09998", "09996", "00002"):
+        assert [r.value for r in runs.indexed_lookup(base, index, key, 100).collect()] == [str(int(key))]
+    for key in ("", "00001", "09999", "99999"):
+        assert runs.indexed_lookup(base, index, key, 100).count() == 0
+    firsts = [r.key for r in index.where("rn = 0").collect()]
+    for key in firsts:
+        assert runs.indexed_lookup(base, index, key, 100).count() == 1
+    empty = f"file://{tmp_path}/empty"
+    runs.sort_for_reads(records.where("false")).write.parquet(empty)
+    assert runs.indexed_lookup(spark.read.parquet(empty), runs.file_index(spark, empty), "00000").count() == 0
 
 
 def test_ranks_and_order_statistics(spark):

@@ -133,7 +133,7 @@ def test_frame_files_as_batch_and_stream(spark, tmp_path):
     finally:
         q.stop()
     assert {r.key: r.value for r in sink.current().where("op = 'SET'").collect()} == {"k0": "v2"}
-    assert sink.base.versions()  # two batches, so a merge
+    assert [r.level for r in sink.runs()] == [1]  # two batches, so a merge
 
 
 def test_socket_source(spark):
@@ -169,6 +169,49 @@ def test_late_and_repeated_batches(spark, tmp_path):
     assert {r.key: r.value for r in sink.current().where("op = 'SET'").collect()} == {"b": "7", "c": ""}
 
 
+def test_levels_of_runs_drop_old_tombstones(spark, tmp_path):
+    schema = "seq bigint, key string, op string, value string"
+    rng = random.Random(8)
+    sink = ingest.RunSink(runs.VersionedTable(spark, f"file://{tmp_path}/list"), f"file://{tmp_path}/runs", late=20)
+    rows = [(i, f"k{rng.randint(0, 9)}", op, f"v{i}" if op == "SET" else None) for i, op in enumerate(rng.choices(["SET", "DEL", "GET"], [3, 3, 1], k=160))]
+    for n in range(7):
+        late = rows[n * 20 : n * 20 + 20]  # shuffled inside what may come late
+        sink(spark.createDataFrame(rng.sample(late, 20), schema), n)
+        assert len({r.level for r in sink.runs()}) == len(sink.runs()) <= 3
+        want = {r.key: r.value for r in state(spark.createDataFrame(rows[: n * 20 + 20], schema)).collect()}
+        assert {r.key: r.value for r in sink.current().where("op = 'SET'").collect()} == want
+    folders = {p.name for p in (tmp_path / "runs").iterdir()}
+    assert folders == {r.path for r in sink.runs()}
+    sink(spark.createDataFrame(rows[140:], schema), 7)
+    (only,) = sink.runs()  # eight equal flushes make one run
+    assert only.level == 3 and sink.current().where("op = 'DEL' and seq < 139").count() == 0
+    sink(spark.createDataFrame([], schema), 8)
+    assert sink.runs() == [only]
+    sink(spark.createDataFrame([(500, "k0", "SET", "new")], schema), 9)
+    sink.finish()
+    (only,) = sink.runs()
+    assert only.top == 500 and sink.current().where("op = 'DEL'").count() == 0
+
+
+def test_frames_cut_anywhere_are_carried_over(spark, tmp_path):
+    from tidelog.plans import catalog
+
+    data = b"".join(wire(*g) for g in GOOD) * 3
+    cut = lambda size: [data[k : k + size] for k in range(0, len(data), size)]
+    chunks = [("a", n, d) for n, d in enumerate(cut(7))] + [("b", n, d) for n, d in enumerate(cut(1000))] + [("c", 0, b""), ("c", 1, b"*2\r\n$3\r\nGE")]
+    random.Random(9).shuffle(chunks)
+    for n in range(4):  # chunks come in any order, and one file comes again
+        spark.createDataFrame(chunks[n::4], "conn string, n bigint, data binary").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame(chunks[::4], "conn string, n bigint, data binary").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("conn string, n bigint, data binary").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = catalog.run_stateful(spark, ingest.commands(stream), f"file://{tmp_path}/out", "append").collect()
+    want = [(k, g) for k, g in enumerate(GOOD * 3)]
+    for conn in "ab":
+        got = sorted((r.place, (r.op, r.key and bytes(r.key), r.value and bytes(r.value))) for r in out if r.conn == conn)
+        assert got == want
+    assert not [r for r in out if r.conn == "c"]
+
+
 def test_state_store_keeps_the_last_write(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rng = random.Random(5)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the hash: the reversed CRC-32C polynomial, the seed and the multiplier.
+# Fixed values of the hashes: the reversed CRC-32C polynomial, the seed, the multiplier, and that of the map hash.
 POLYNOMIAL = 0x82F63B78
 SEED = 0x9E3779B97F4A7C15
 MULTIPLIER = 0xFF51AFD7ED558CCD
+MAP_MULTIPLIER = 0xC4CEB9FE1A85EC53
 
 
 def crc_table() -> list[int]:
@@ -46,14 +47,21 @@ def routing_hash(key: Column) -> Column:
 
     crc = F.aggregate(places, F.lit(SEED & 0xFFFFFFFF).cast("bigint"), step).cast("decimal(20,0)")
     start = F.when(F.octet_length(key) == 0, _finish(F.lit(str(SEED)).cast("decimal(20,0)"))).otherwise(crc)
-    # a product of 64 by 64 bits needs more than 38 digits only for the empty key, so that one is multiplied by halves
-    low = (start % F.lit(1 << 32).cast("decimal(20,0)")).cast("decimal(10,0)")
-    high = F.floor(start / F.lit(1 << 32).cast("decimal(20,0)")).cast("decimal(10,0)")
-    by = F.lit(str(MULTIPLIER)).cast("decimal(20,0)")
-    two64 = F.lit(str(1 << 64)).cast("decimal(20,0)")
-    shifted = (((high * by) % two64).cast("decimal(20,0)") % F.lit(1 << 32).cast("decimal(20,0)")).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)")
-    product = ((low * by).cast("decimal(38,0)") + shifted.cast("decimal(38,0)")) % two64
-    return _finish(product.cast("decimal(20,0)"))
+    return _finish(_times(start, MULTIPLIER))
+
+
+def map_hash(routing: Column) -> Column:
+    """The unsigned 64-bit hash of in-memory maps: a routing hash, best a column made before, multiplied and mixed once more."""
+    return _finish(_times(routing, MAP_MULTIPLIER))
+
+
+def _times(x: Column, factor: int) -> Column:
+    """The product's low 64 bits, by halves of x: that of 64 by 64 bits has more than 38 digits."""
+    two32, two64 = F.lit(1 << 32).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")
+    by = F.lit(str(factor)).cast("decimal(20,0)")
+    low, high = (x % two32).cast("decimal(10,0)"), F.floor(x / two32).cast("decimal(10,0)")
+    shifted = (((high * by) % two64).cast("decimal(20,0)") % two32).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)")
+    return (((low * by).cast("decimal(38,0)") + shifted.cast("decimal(38,0)")) % two64).cast("decimal(20,0)")
 
 
 def shard(key: Column, n: int) -> Column:

@@ -87,6 +87,15 @@ def replies(log: DataFrame, workers: int = 1, span: int | None = None) -> DataFr
     return seen.select("seq", "key", "op", reply.alias("reply"), existed.alias("existed"))
 
 
+def reply_buffers(replied: DataFrame, commands: int = 128) -> DataFrame:
+    """(conn, part, data): what goes back to each connection, in the order of its commands, whichever shard replied first.
+
+    From (conn, place, reply), place from 0; a buffer has the replies of so many commands, so a busy connection is many.
+    """
+    cut = replied.groupBy("conn", F.floor(F.col("place") / commands).alias("part"))
+    return cut.agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", "reply")))["reply"], "").alias("data"))
+
+
 def lookup(current: DataFrame, key: str) -> DataFrame:
     return current.where(F.col("key") == key)
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.ranking import order_statistics, prefix_sums
 
 
-def per_second(events: DataFrame, ts: str = "ts") -> DataFrame:
-    """Operations of each second from the first to the last; idle seconds are zero. One row a second: small."""
-    counted = events.groupBy(F.date_trunc("second", ts).alias("second")).agg(F.count("*").alias("ops"))
+def per_second(events: DataFrame, ts: str = "ts", amount: Column | None = None) -> DataFrame:
+    """Operations of each second from the first to the last, or a sum over them; idle seconds are zero. One row a second: small."""
+    counted = events.groupBy(F.date_trunc("second", ts).alias("second")).agg((F.count("*") if amount is None else F.sum(amount)).alias("ops"))
     span = counted.agg(F.min("second").alias("a"), F.max("second").alias("z")).where("a is not null")
     # the seconds by days, so that a long span is many rows to explode
     days = span.select("z", F.explode(F.expr("sequence(a, z, interval 1 day)")).alias("d"))
@@ -66,8 +66,8 @@ def mismatches(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("checked"), F.count_if((F.col("expected") != F.col("actual")) | F.col("actual").isNull()).alias("errors"))
 
 
-def plotted(samples: DataFrame, n: int = 100) -> DataFrame:
-    """The last samples as points: x from -1 on, operations in millions."""
+def plotted(samples: DataFrame, n: int = 100, column: str = "ops", unit: float = 1e6) -> DataFrame:
+    """The last samples as points: x from -1 on, y in units, such as millions of operations or 2000 connections."""
     newest = last_samples(samples, n)
     i = F.row_number().over(Window.orderBy("second")) - 1  # at most n rows
-    return newest.select("second", (F.lit(-1.0) + F.lit(2.0) * i / n).alias("x"), (F.col("ops") / 1e6).alias("y"))
+    return newest.select("second", (F.lit(-1.0) + F.lit(2.0) * i / n).alias("x"), (F.col(column) / unit).alias("y"))

@@ -55,13 +55,27 @@ def sparse_index(records: DataFrame, every: int = 1024, *keys: str) -> DataFrame
     return numbered.where(F.col("rn") % every == 0).select(*keys, "rn", "key")
 
 
-def indexed_lookup(records: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """A point read that scans only between two index entries; as predicates, so the file statistics prune it too."""
-    upper = index.where(F.col("key") >= key).agg(F.min("key")).first()[0]
-    lower = index.where(F.col("key") < key).agg(F.max("key")).first()[0]
-    part = records.where(F.col("key") == key)
-    part = part.where(F.col("key") <= upper) if upper is not None else part
-    return part.where(F.col("key") > lower) if lower is not None else part
+def sort_for_reads(records: DataFrame) -> DataFrame:
+    """The records dealt into ranges of keys, descending in each: a file of the written table is one range or a part of it."""
+    return records.repartitionByRange(F.desc("key")).sortWithinPartitions(F.desc("key"))
+
+
+def file_index(spark: SparkSession, path: str, every: int = 1024) -> DataFrame:
+    """Every so many records of each file of a table that was written sorted: file, rn (the place in it), key."""
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("rn"), "key")
+    return rows.where(F.col("rn") % every == 0)
+
+
+def indexed_lookup(base: DataFrame, index: DataFrame, key: str, every: int = 1024) -> DataFrame:
+    """A point read of a sorted table of unique keys: the entry with the smallest key that isn't below names file and place.
+
+    Of that file the row groups whose statistics exclude the key aren't read; a file holds no key of another's range.
+    """
+    entry = index.where(F.col("key") >= key).agg(F.min_by(F.struct("file", "rn"), "key").alias("e")).first()["e"]
+    if entry is None:  # above all keys
+        return base.limit(0)
+    place, spark = F.col("_metadata.row_index"), base.sparkSession
+    return spark.read.schema(base.schema).parquet(entry["file"]).where((F.col("key") == key) & (place >= entry["rn"]) & (place < entry["rn"] + every))
 
 
 def run_files(paths: DataFrame, workers: int) -> DataFrame:

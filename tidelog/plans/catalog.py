@@ -98,6 +98,13 @@ def kv_replies_split(spark, sf_dir):
     return log.replies(kv(spark, sf_dir), span=1000)
 
 
+@query("kv_reply_buffers", f"with r as ({ORACLE_SQL['kv_replies']}) select seq % 64 as conn, seq // 64 // 128 as part, string_agg(reply, '' order by seq) as data from r group by 1, 2")
+def kv_reply_buffers(spark, sf_dir):
+    """The replies of 64 connections, computed key by key, in each connection's order again."""
+    replied = log.replies(kv(spark, sf_dir)).select((F.col("seq") % 64).alias("conn"), F.expr("seq div 64").alias("place"), "reply")
+    return log.reply_buffers(replied)
+
+
 @query("kv_point_lookup", f"with {KV}, {LAST} select key, value, seq from last where op = 'SET' and key = 'key:00000007'")
 def kv_point_lookup(spark, sf_dir):
     return log.lookup(log.state(kv(spark, sf_dir)), "key:00000007")
@@ -214,8 +221,11 @@ def order_keys(spark, sf_dir):
 
 @query("kv_indexed_lookup", "select 'o:' || lpad(cast(o_orderkey as varchar), 10, '0') as key, cast(o_custkey as varchar) as value from orders where o_orderkey = 777")
 def kv_indexed_lookup(spark, sf_dir):
-    records = order_keys(spark, sf_dir)
-    return runs.indexed_lookup(records, runs.sparse_index(records.select("key"), EVERY), "o:0000000777")
+    """A base written in ranges of keys, its index beside it, and a point read by both."""
+    path = new_path(spark, "sorted")
+    runs.sort_for_reads(order_keys(spark, sf_dir)).write.parquet(f"{path}/base")
+    runs.file_index(spark, f"{path}/base", EVERY).write.parquet(f"{path}/index")
+    return runs.indexed_lookup(spark.read.parquet(f"{path}/base"), spark.read.parquet(f"{path}/index"), "o:0000000777", EVERY)
 
 
 @query("kv_record_bytes", f"with {KV}, {RUNS} select run, count(*) as records, cast(sum((8 + octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0) + 7) // 8 * 8) as bigint) as bytes from runs group by run")
@@ -267,12 +277,15 @@ def resp_encode(spark, sf_dir):
     return kv(spark, sf_dir).select("seq", resp.frame(F.col("op"), F.col("key"), F.col("value")).alias("frame"))
 
 
+def buffers(spark, sf_dir):
+    frames = kv(spark, sf_dir).select(F.expr("seq div 100").alias("conn"), F.struct("seq", resp.frame(F.col("op"), F.col("key"), F.col("value")).alias("f")).alias("s"))
+    return frames.groupBy("conn").agg(F.array_sort(F.collect_list("s")).alias("fs")).select("conn", F.array_join("fs.f", "").alias("data"))
+
+
 @query("resp_parse", f"with {KV} select seq // 100 as conn, row_number() over (partition by seq // 100 order by seq) - 1 as place, op, key, value from kv")
 def resp_parse(spark, sf_dir):
     """Frames of a hundred commands joined to a buffer, and parsed again by their lengths."""
-    frames = kv(spark, sf_dir).select(F.expr("seq div 100").alias("conn"), F.struct("seq", resp.frame(F.col("op"), F.col("key"), F.col("value")).alias("f")).alias("s"))
-    buffers = frames.groupBy("conn").agg(F.array_sort(F.collect_list("s")).alias("fs")).select("conn", F.array_join("fs.f", "").alias("data"))
-    return resp.parse_frames(buffers, "conn", "data").select("conn", "place", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return resp.parse_frames(buffers(spark, sf_dir), "conn", "data").select("conn", "place", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
 @query("resp_parse_text", f"with {KV} select seq, op, key, value from kv")
@@ -324,6 +337,16 @@ def shard_misrouted(spark, sf_dir):
     return kv(spark, sf_dir).select("key").distinct().agg(F.count("*").alias("keys"), F.count_if(hashing.shard(F.col("key"), WORKERS) != 0).alias("misrouted"))
 
 
+@query(
+    "map_hash",
+    f"""{_ROUTED}, q as (select key, ((hash % 4294967296) * {hashing.MAP_MULTIPLIER} + ((hash // 4294967296) * {hashing.MAP_MULTIPLIER} % 4294967296) * 4294967296) % 18446744073709551616 as p from h)
+    select key, cast((p // 4294967296) * 4294967296 + xor(cast(p % 4294967296 as bigint), cast(p // 8589934592 as bigint)) as varchar) as hash from q""",
+)
+def map_hash(spark, sf_dir):
+    keys = kv(spark, sf_dir).select("key").distinct().withColumn("h", hashing.routing_hash(F.col("key")))
+    return keys.select("key", hashing.map_hash(F.col("h")).cast("string").alias("hash"))
+
+
 # --- scalar functions
 
 
@@ -614,6 +637,18 @@ def conn_gauge(spark, sf_dir):
     return metrics.gauge(changes, "event_id", "d", "part").select("event_id", "gauge")
 
 
+_CHANGE = "case event_type when 'signup' then 1 when 'error' then -1 else 0 end"
+
+
+@query("conn_plot", f"with {_RPS.replace('count(*)', f'sum({_CHANGE})', 1)}, g as (select second, sum(ops) over (order by second) as conns from r), n as (select * from g order by second desc limit 100) select second, -1.0::double + 2.0::double * (row_number() over (order by second) - 1) / 100 as x, conns / 2000.0::double as y from n")
+def conn_plot(spark, sf_dir):
+    """Open connections at the end of each of the last seconds."""
+    events = table(spark, sf_dir, "events")
+    seconds = metrics.per_second(events, amount=F.expr(_CHANGE))
+    open_ = metrics.gauge(seconds.withColumn("part", F.expr("unix_seconds(cast(second as timestamp)) div 1000")), "second", "ops", "part")
+    return metrics.plotted(open_.select("second", F.col("gauge").alias("conns")), column="conns", unit=2000.0)
+
+
 @query("throughput", "select count(*) as ops, datediff('microsecond', min(ts), max(ts)) as micros, count(*) * 1000000 / datediff('microsecond', min(ts), max(ts)) as ops_per_s from events")
 def throughput(spark, sf_dir):
     return metrics.throughput(table(spark, sf_dir, "events"))
@@ -661,15 +696,19 @@ def verify_errors(spark, sf_dir):
 # --- streams
 
 
+#: Bytes that a batch of a stream takes at most, so that a flush has about as many.
+FLUSH_BYTES = 128 << 20
+
+
 def event_stream(spark, sf_dir):
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream takes no single file
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxBytesPerTrigger", FLUSH_BYTES).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream takes no single file
 
 
 @query("stream_state", f"with {KV}, {LAST} select key, value, seq from last where op = 'SET'")
 def stream_state(spark, sf_dir):
-    """The log streamed into runs and a versioned base."""
+    """The log streamed into levels of runs."""
     path = new_path(spark, "stream")
-    sink = ingest.RunSink(runs.VersionedTable(spark, f"{path}/base"), f"{path}/runs")
+    sink = ingest.RunSink(runs.VersionedTable(spark, f"{path}/list"), f"{path}/runs")
     ingest.into_runs(log.from_events(event_stream(spark, sf_dir)), sink, f"{path}/checkpoint").awaitTermination()
     return sink.current().where("op = 'SET'").select("key", "value", "seq")
 
@@ -681,3 +720,38 @@ def stream_rates(spark, sf_dir):
     rates = ingest.rates(event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
     rates.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select(F.col("second").cast("timestamp_ntz").alias("second"), "ops")
+
+
+#: The provider that keyed state needs.
+STATE_STORE, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_stateful(spark: SparkSession, stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """All that a stream with keyed state gives, batch by batch into a folder, read back; the session's provider stays."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        # a batch that comes again replaces its own folder
+        writer = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}"))
+        writer.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("stream_keyed_state", ORACLE_SQL["kv_state_lww"])
+def stream_keyed_state(spark, sf_dir):
+    """The last writes held in the state store; of a key's changes the newest counts."""
+    changes = run_stateful(spark, ingest.keyed_state(log.from_events(event_stream(spark, sf_dir))), new_path(spark, "keyed"), "update")
+    return log.state(changes)
+
+
+@query("stream_frames", ORACLE_SQL["resp_parse"])
+def stream_frames(spark, sf_dir):
+    """Buffers of a hundred commands cut into pieces of 999 bytes, streamed, and parsed with what is left of a piece carried over."""
+    path = new_path(spark, "pieces")
+    pieces = buffers(spark, sf_dir).select("conn", F.posexplode(F.expr("transform(sequence(0, greatest(octet_length(data) - 1, 0) div 999), k -> substring(cast(data as binary), cast(k * 999 + 1 as int), 999))")).alias("n", "data"))
+    pieces.select("conn", F.col("n").cast("bigint").alias("n"), "data").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("conn bigint, n bigint, data binary").option("maxBytesPerTrigger", FLUSH_BYTES).parquet(f"{path}/in")
+    out = run_stateful(spark, ingest.commands(stream), path, "append")
+    return out.select("conn", "place", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
