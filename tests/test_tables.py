@@ -212,6 +212,21 @@ def test_frames_cut_anywhere_are_carried_over(spark, tmp_path):
     assert not [r for r in out if r.conn == "c"]
 
 
+def test_files_of_a_connection_are_one_stream_of_frames(spark, tmp_path):
+    from tidelog.plans import catalog
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    data = b"".join(wire(*g) for g in GOOD)
+    for k in range(0, len(data), 11):
+        (folder / f"east.{k // 11}.resp").write_bytes(data[k : k + 11])
+    (folder / "west.0.resp").write_bytes(data)
+    (folder / "other.txt").write_bytes(data)
+    stream = ingest.commands(frames.chunks(spark, f"file://{folder}", most_bytes=40))
+    out = catalog.run_stateful(spark, stream, f"file://{tmp_path}/out", "append").collect()
+    assert [(r.conn, r.place, r.op) for r in sorted(out, key=lambda r: (r.conn, r.place))] == [(c, k, g[0]) for c in ("east", "west") for k, g in enumerate(GOOD)]
+
+
 def test_state_store_keeps_the_last_write(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rng = random.Random(5)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, DataSourceStreamReader
 
 from tidelog.operators.resp import parse
@@ -145,6 +147,18 @@ class RespSocket(DataSource):
         return SocketReader(self.options.get("host", "127.0.0.1"), [first + k for k in range(int(self.options.get("workers", "1")))])
 
 
-def register(spark) -> None:
+def chunks(spark: SparkSession, folder: str, most_bytes: int = 128 << 20) -> DataFrame:
+    """A stream of (conn, n, data) of the files `<connection>.<number>.resp` in a folder, numbered from 0 for each connection.
+
+    What a connection sent may be cut anywhere between its files; streaming.ingest.commands carries frames over.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    files = files.option("pathGlobFilter", "*.resp").option("maxBytesPerTrigger", most_bytes).load(folder)
+    form = r"([^/]+)\.(\d+)\.resp$"
+    named = files.where(F.col("path").rlike(form))
+    return named.select(F.regexp_extract("path", form, 1).alias("conn"), F.regexp_extract("path", form, 2).cast("bigint").alias("n"), F.col("content").alias("data"))
+
+
+def register(spark: SparkSession) -> None:
     spark.dataSource.register(RespFrames)
     spark.dataSource.register(RespSocket)
